@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, mixing, quality, sharding, token_counts
+from . import bpe, chat, mixing, quality, sharding, token_counts, topk, toxicity
 from .common import table
 
 
@@ -23,6 +23,17 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    grammar = toxicity.learn(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs.withColumn("held_out", toxicity.held_out(F.col("doc_id"))), grammar, keep=["doc_id", "held_out"])
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.json"), decoded=True, keep=["doc_id"])
@@ -38,6 +49,6 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_mixing, op4_sharding, op7_bpe_round_trip, op8_chat_formatting, op9_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op3_mixing, op4_sharding, op5_exact_top_k, op6_toxicity, op7_bpe_round_trip, op8_chat_formatting, op9_quality_rules)}
 
 ORACLES: dict[str, str] = {}
