@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, mixing, quality, sharding, token_counts, topk, toxicity
+from . import bpe, chat, mixing, ngram_join, quality, sharding, token_counts, topk, toxicity
 from .common import table
 
 
@@ -15,6 +15,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(docs, public_tokenizers.path("word_bpe_49k.json"), keep=["doc_id"])
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"), n=4, num=85, den=100)
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents"))
 
@@ -49,6 +53,23 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_mixing, op4_sharding, op5_exact_top_k, op6_toxicity, op7_bpe_round_trip, op8_chat_formatting, op9_quality_rules)}
-
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_ngram_jaccard_join, op3_mixing, op4_sharding, op5_exact_top_k, op6_toxicity, op7_bpe_round_trip, op8_chat_formatting, op9_quality_rules)}
+
+#: Words of a text, in DuckDB.
+WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+ORACLES: dict[str, str] = {
+    "op2_ngram_jaccard_join": rf"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (
+  select doc_id, unnest(list_distinct(case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
+    else list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' ')) end)) as s from w),
+n as (select doc_id, count(*) as n from s group by 1),
+o as (select a.doc_id as a, b.doc_id as b, count(*) as o from s a join s b using (s) group by 1, 2),
+e as (select o.a, o.b from o join n x on x.doc_id = a join n y on y.doc_id = b where 100 * o.o >= 85 * (x.n + y.n - o.o)),
+r as (select doc_id as node, doc_id as root from n union select e.b, r.root from r join e on e.a = r.node),
+c as (select node, min(root) as root from r group by 1)
+select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, coalesce(c.root, d.doc_id) as component_id
+from documents d left join n using (doc_id) left join c on c.node = d.doc_id""",
+}

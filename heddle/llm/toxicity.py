@@ -115,11 +115,11 @@ def held_out(doc_id) -> F.Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, stem: int = 5, most_terms: int = 2000, least_docs: int = 3, least_odds: float = 3.0, word_share: float = 0.8) -> Grammar:
+def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, stem: int = 5, most_terms: int = 2000, least_docs: int = 3, least_share: float = 0.004, least_odds: float = 3.0) -> Grammar:
     """Fits the grammar on at most ``sample_rows`` labelled documents, taken in hash order of their ids; held-out rows are never read.
 
-    A word or stem joins the lexicon if at least ``least_docs`` toxic texts hold it and its log odds reach ``least_odds``; its weight is
-    that log odds. Only stems whose words are nearly all unknown elsewhere pass that test. At most ``most_terms`` of each are kept.
+    A word or stem joins the lexicon if at least ``least_docs`` toxic texts, and ``least_share`` of them, hold it and its log odds reach
+    ``least_odds``; its weight is that log odds. At most ``most_terms`` of each are kept.
     Without labelled rows the lexicon is empty and every text scores alike.
     """
     marks = labels.where(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
@@ -133,7 +133,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, stem: i
         return Grammar({}, {}, stem, (-4.0, 0.0, 0.0, 0.0, 0.0))
     counts = listed.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("toxic").alias("p"), F.sum(1 - F.col("toxic")).alias("n"))
     odds = F.log(((F.col("p") + 0.5) / F.lit(bad + 1)) / ((F.col("n") + 0.5) / F.lit(good + 1)))
-    best = counts.where(F.col("p") >= least_docs).withColumn("odds", odds).where(F.col("odds") >= least_odds).withColumn("word", F.col("term").startswith("="))
+    best = counts.where(F.col("p") >= max(least_docs, math.ceil(least_share * bad))).withColumn("odds", odds).where(F.col("odds") >= least_odds).withColumn("word", F.col("term").startswith("="))
     terms = [r for word in (True, False) for r in best.where(F.col("word") == word).orderBy(F.desc(F.col("p") * F.col("odds")), "term").limit(most_terms).collect()]
     draft = Grammar({r.term[1:]: r.odds for r in terms if r.word}, {r.term: r.odds for r in terms if not r.word}, stem, ())
     sent = docs.sparkSession.sparkContext.broadcast(draft)
