@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, mixing, ngram_join, quality, sharding, token_counts, topk, toxicity
+from . import bpe, chat, lm, mixing, ngram_join, quality, sharding, token_counts, topk, toxicity
 from .common import table
 
 
@@ -53,7 +53,11 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_ngram_jaccard_join, op3_mixing, op4_sharding, op5_exact_top_k, op6_toxicity, op7_bpe_round_trip, op8_chat_formatting, op9_quality_rules)}
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_ngram_jaccard_join, op3_mixing, op4_sharding, op5_exact_top_k, op6_toxicity, op7_bpe_round_trip, op8_chat_formatting, op9_quality_rules, op10_lm_scoring)}
 
 #: Words of a text, in DuckDB.
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
