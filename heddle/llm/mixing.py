@@ -38,14 +38,14 @@ def targets(sources: DataFrame, times: int = 3) -> DataFrame:
 
 
 def streams(docs: DataFrame, seed: int = 11) -> DataFrame:
-    """One row a document: doc_id, source_key, size, source_size, target, and ``start``: its place in its source's shuffled stream of words.
+    """One row a document: doc_id, key (hash of id and text), source_key, size, source_size, target, and ``start``: its place in its source's shuffled stream of words.
 
     The source key is the source's name behind an ``s``, or ``~`` (sorted last) for null. Documents are shuffled by a digest of
     their id and text; repeated rows are interchangeable. Null texts have size 0.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), F.md5(text.cast("binary"))).cast("binary"))
-    base = docs.select("doc_id", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("~")).alias("source_key"), F.size(words(F.col("text"))).cast("long").alias("size"), digest.alias("_h"))
+    base = docs.select("doc_id", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("~")).alias("source_key"), F.xxhash64("doc_id", "text").alias("key"), F.size(words(F.col("text"))).cast("long").alias("size"), digest.alias("_h"))
     base = cut(base.withColumn("_block", F.conv(F.substring("_h", 1, 3), 16, 10).cast("int")))
     aims = cut(targets(base.groupBy("source_key").agg(F.sum("size").alias("source_size"))))
     return running(base, "source_key", "_block", ["_h"], F.col("size"), "start").join(small(aims, 100_000), "source_key")
@@ -94,4 +94,15 @@ def taken(docs: DataFrame, block_words: int = 1024, times: int = 3, seed: int =
     sums = mix(docs, block_words, times, seed, placed).groupBy("source_key", "start").agg(F.sum("n_words").alias("taken"))
     full = placed.where("size > 0").join(sums, ["source_key", "start"], "left")
     rows = full.unionByName(placed.where("size = 0").withColumn("taken", F.lit(0).cast("long")))
-    return rows.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"), F.when(F.col("source_key") != "~", F.substring("source_key", 2, 1 << 30)).alias("source"))
+    return rows.select("doc_id", "key", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"), F.when(F.col("source_key") != "~", F.substring("source_key", 2, 1 << 30)).alias("source"))
+
+
+def apply_mix(docs: DataFrame, block_words: int = 1024, times: int = 3, seed: int = 11) -> DataFrame:
+    """The rows of ``docs`` as the mix takes them: whole documents, as often as it reads them, begun readings counted.
+
+    A document that the mix doesn't reach, or without words, goes; none stands more than ``times`` times. Repeated rows share
+    what they are taken together.
+    """
+    sums = taken(docs, block_words, times, seed).groupBy("key").agg(F.ceil(F.sum("taken") / F.greatest(F.sum("size"), F.lit(1))).cast("int").alias("_copies")).where("_copies > 0")
+    rows = docs.withColumn("_key", F.xxhash64("doc_id", "text")).join(small(sums.withColumnRenamed("key", "_key"), 500_000), "_key")
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(docs.columns)

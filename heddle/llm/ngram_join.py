@@ -291,3 +291,19 @@ def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFram
     full = rows.where("set_id is not null and doc_id is not null").join(classes, "set_id", "left")
     alone = rows.where("set_id is null or doc_id is null").withColumn("component_id", F.when(F.col("set_id").isNull(), F.col("doc_id")))
     return full.select("doc_id", "n_shingles", "component_id").unionByName(alone.select("doc_id", "n_shingles", "component_id"))
+
+
+def keep_one(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of each group of linked documents the one of smallest doc_id stays.
+
+    A doc_id that stands in several rows stays once. Rows without doc_id, and wordless ones, are in no group and stay.
+    """
+    found = cut(join(docs, n, num, den).where("doc_id is not null"))
+    gone = found.where("component_id != doc_id").select("doc_id").distinct()
+    rows = docs.join(small(gone, 500_000), "doc_id", "left_anti").select(docs.columns)
+    again = cut(found.groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if not again.limit(1).count():
+        return rows
+    again = small(again, 500_000)
+    once = rows.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return rows.join(again, "doc_id", "left_anti").unionByName(once).select(docs.columns)
