@@ -53,7 +53,7 @@ def rules(m: dict[str, Column]) -> dict[str, Column]:
         "short": m["n_words"] < 50,
         "repeats": 100 * m["n_repeat_words"] > 50 * m["n_words"],
         "symbols": 10 * m["n_symbols"] > m["n_words"],
-        "duplicate_lines": 10 * m["n_dup_lines"] > 3 * m["n_lines"],
+        "duplicate_lines": 2 * m["n_dup_lines"] > m["n_lines"],
         "word_length": (m["word_chars"] < 2 * m["n_words"]) | (m["word_chars"] > 15 * m["n_words"]),
     }
 
@@ -94,15 +94,16 @@ def apply_rules(docs: DataFrame, order: list[str] | None = None) -> DataFrame:
     """
     order = order or plan_cascade(docs)
     inner = [c for c in docs.columns if c != "rejected_by"]
-    wide = docs.select(*[F.col(f"`{c}`") for c in inner], words(F.col("text")).alias("_w"))
-    return wide.withColumn("rejected_by", rejected_by(rules(measures(F.col("text"), F.col("_w"))), order)).drop("_w")
+    # the words are bound inside the expression: a filter on it that moves below a projection would split the text anew for each word
+    verdict = let(words(F.col("text")), lambda w: rejected_by(rules(measures(F.col("text"), w)), order))
+    return docs.select(*[F.col(f"`{c}`") for c in inner], verdict.alias("rejected_by"))
 
 
 def report(docs: DataFrame, order: list[str] | None = None) -> DataFrame:
     """doc_id, the measures, base_failed, kept and rejected_by for every document."""
     order = order or plan_cascade(docs)
-    wide = docs.select("doc_id", "text", words(F.col("text")).alias("_w"))
-    wide = wide.select("doc_id", *[c.alias(k) for k, c in measures(F.col("text"), F.col("_w")).items()])
+    found = let(words(F.col("text")), lambda w: F.struct(*[c.alias(k) for k, c in measures(F.col("text"), w).items()]))
+    wide = docs.select("doc_id", found.alias("_m")).select("doc_id", "_m.*")
     tests = rules({k: F.col(k) for k in wide.columns if k != "doc_id"})
     wide = wide.withColumn("base_failed", tests["short"] | tests["repeats"]).withColumn("rejected_by", rejected_by(tests, order))
     return wide.withColumn("kept", F.col("rejected_by").isNull() & ~F.col("base_failed"))
