@@ -1,0 +1,70 @@
+"""Colour maths as expressions: CIE Lab, differences, hex and packed forms, luminance."""
+
+from __future__ import annotations
+
+from .layers import Layers
+
+# sRGB (D65) to XYZ, rounded to four digits, and the white point.
+MATRIX = ((0.4124, 0.3576, 0.1805), (0.2126, 0.7152, 0.0722), (0.0193, 0.1192, 0.9505))
+WHITE = (0.95047, 1.0, 1.08883)
+
+
+def lab(s: str = "", r: str = "r", g: str = "g", b: str = "b") -> Layers:
+    """Columns ll{s}, aa{s}, bb{s} from 8-bit r, g, b; rounded to 9 decimals, as the last bits differ between machines."""
+    lin = {f"l{c}{s}": f"case when {v} <= 10 then {v} / 255e0 / 12.92e0 else power(({v} / 255e0 + 0.055e0) / 1.055e0, 2.4e0) end" for c, v in zip("rgb", (r, g, b), strict=True)}
+    xyz = {f"q{n}{s}": f"({m[0]}e0 * lr{s} + {m[1]}e0 * lg{s} + {m[2]}e0 * lb{s}) / {w}e0" for n, m, w in zip("xyz", MATRIX, WHITE, strict=True)}
+    f = {f"f{n}{s}": f"case when q{n}{s} > 0.008856e0 then power(q{n}{s}, 1e0 / 3e0) else 7.787e0 * q{n}{s} + 16e0 / 116e0 end" for n in "xyz"}
+    return [lin, xyz, f, {f"ll{s}": f"round(116e0 * fy{s} - 16e0, 9)", f"aa{s}": f"round(500e0 * (fx{s} - fy{s}), 9)", f"bb{s}": f"round(200e0 * (fy{s} - fz{s}), 9)"}]
+
+
+def de76(p: str, q: str) -> str:
+    return f"sqrt(power(ll{p} - ll{q}, 2e0) + power(aa{p} - aa{q}, 2e0) + power(bb{p} - bb{q}, 2e0))"
+
+
+def squared(p: str, q: str) -> str:
+    return f"round((ll{p} - ll{q}) * (ll{p} - ll{q}) + (aa{p} - aa{q}) * (aa{p} - aa{q}) + (bb{p} - bb{q}) * (bb{p} - bb{q}), 9)"
+
+
+def de2000(p: str, q: str, out: str = "de") -> Layers:
+    """Column ``out``: the CIEDE2000 difference of ll{p}, aa{p}, bb{p} and ll{q}, aa{q}, bb{q}, as published."""
+    turn = lambda x: f"(({x}) - 360e0 * floor(({x}) / 360e0))"
+    return [
+        {"_c": f"(sqrt(aa{p} * aa{p} + bb{p} * bb{p}) + sqrt(aa{q} * aa{q} + bb{q} * bb{q})) / 2e0"},
+        {"_g": "1e0 + 0.5e0 * (1e0 - sqrt(power(_c, 7e0) / (power(_c, 7e0) + 6103515625e0)))"},
+        {"_a1": f"_g * aa{p}", "_a2": f"_g * aa{q}"},
+        {"_c1": f"sqrt(_a1 * _a1 + bb{p} * bb{p})", "_c2": f"sqrt(_a2 * _a2 + bb{q} * bb{q})", "_h1": turn(f"degrees(atan2(bb{p}, _a1))"), "_h2": turn(f"degrees(atan2(bb{q}, _a2))")},
+        {"_dh": "case when _c1 * _c2 = 0e0 then 0e0 when _h2 - _h1 > 180e0 then _h2 - _h1 - 360e0 when _h2 - _h1 < -180e0 then _h2 - _h1 + 360e0 else _h2 - _h1 end",
+         "_hb": "case when _c1 * _c2 = 0e0 then _h1 + _h2 when abs(_h1 - _h2) <= 180e0 then (_h1 + _h2) / 2e0 when _h1 + _h2 < 360e0 then (_h1 + _h2 + 360e0) / 2e0 else (_h1 + _h2 - 360e0) / 2e0 end",
+         "_lb": f"power((ll{p} + ll{q}) / 2e0 - 50e0, 2e0)", "_cb": "(_c1 + _c2) / 2e0"},
+        {"_t": "1e0 - 0.17e0 * cos(radians(_hb - 30e0)) + 0.24e0 * cos(radians(2e0 * _hb)) + 0.32e0 * cos(radians(3e0 * _hb + 6e0)) - 0.20e0 * cos(radians(4e0 * _hb - 63e0))",
+         "_rt": "-sin(radians(60e0 * exp(-power((_hb - 275e0) / 25e0, 2e0)))) * 2e0 * sqrt(power(_cb, 7e0) / (power(_cb, 7e0) + 6103515625e0))",
+         "_dl": f"(ll{q} - ll{p}) / (1e0 + 0.015e0 * _lb / sqrt(20e0 + _lb))"},
+        {"_dc": "(_c2 - _c1) / (1e0 + 0.045e0 * _cb)", "_dn": "2e0 * sqrt(_c1 * _c2) * sin(radians(_dh / 2e0)) / (1e0 + 0.015e0 * _cb * _t)"},
+        {out: "sqrt(greatest(0e0, _dl * _dl + _dc * _dc + _dn * _dn + _rt * _dc * _dn))"},
+    ]
+
+
+def packed(r: str = "r", g: str = "g", b: str = "b") -> str:
+    """24-bit colour key."""
+    return f"({r} * 65536 + {g} * 256 + {b})"
+
+
+def unpacked(key: str) -> dict[str, str]:
+    return {"r": f"cast(floor({key} / 65536e0) as int)", "g": f"cast(floor({key} / 256e0) as int) % 256", "b": f"cast({key} as int) % 256"}
+
+
+def hex_digits(r: str = "r", g: str = "g", b: str = "b") -> str:
+    """#RRGGBB, written with two-digit look-ups that both SQL dialects have."""
+    digit = lambda v: f"substring('0123456789ABCDEF', cast({v} as int) + 1, 1)"
+    pair = lambda v: f"{digit(f'floor({v} / 16e0)')} || {digit(f'{v} % 16')}"
+    return f"'#' || {pair(r)} || {pair(g)} || {pair(b)}"
+
+
+def luminance(r: str = "r", g: str = "g", b: str = "b") -> str:
+    """Relative luminance, 0 to 1, weighted on the channels as they are; cloth under 0.5 counts as dark."""
+    return f"((0.2126e0 * {r} + 0.7152e0 * {g} + 0.0722e0 * {b}) / 255e0)"
+
+
+def mixed(v: str, towards: int, share: float) -> str:
+    """aa channel moved by ``share`` towards white (255) or black (0), to the nearest whole."""
+    return f"cast(round({v} + ({towards} - {v}) * {share}e0) as int)"
