@@ -55,7 +55,7 @@ def job_stats(events: DataFrame, days: int, now: str) -> DataFrame:
     rows = in_window(events, days, now)
     jobs = job_state(rows)
     designs = latest_per_design(jobs).select(F.coalesce("stage", F.lit("new")).alias("stage"), F.date_format("time", "yyyy-MM-dd").alias("day"), "status", "quote_total", "meters")
-    sets = designs.groupingSets([[], ["stage"], ["day"]], "stage", "day").agg(F.count("*").alias("designs"), F.sum((F.col("status") == "auto_ok").cast("long")).alias("auto_ok"), even(F.sum("quote_total"), 0).alias("quoted"), even(F.sum("meters"), 0).alias("meters"), F.grouping_id().alias("_g"))
+    sets = designs.groupingSets([[], ["stage"], ["day"]], "stage", "day").agg(F.count("*").alias("designs"), F.sum((F.col("status") == "auto_ok").cast("long")).alias("auto_ok"), even(F.round(F.sum("quote_total"), 2), 0).alias("quoted"), even(F.round(F.sum("meters"), 2), 0).alias("meters"), F.grouping_id().alias("_g"))
     whole = jobs.agg((F.sum("seconds") / 60).alias("_engine"), F.count("*").alias("runs"))
     again = rows.where("event = 'repeat'").agg(F.count("*").alias("repeats"))
     saved = F.greatest(F.lit(0.0), F.col("designs") * CARD["manual_minutes_per_design"] - (F.col("designs") - F.col("auto_ok")) * CARD["review_minutes_per_design"] - F.col("_engine"))
@@ -73,10 +73,10 @@ def client_ledger(events: DataFrame, days: int, now: str, rated: DataFrame) -> D
     one = lambda cond: F.sum(cond.cast("long"))
     ended = jobs.groupBy("client_key").agg(
         F.count("*").alias("designs"), one(stage == "approved").alias("approved"), one(stage == "rejected").alias("rejected"),
-        one(~stage.isin("approved", "rejected", "changed", "expired")).alias("waiting"), even(F.sum("meters"), 0).alias("meters"), even(F.sum("quote_total"), 0).alias("quoted"),
-        even(F.sum(F.when(stage == "approved", F.col("quote_total")).otherwise(0.0)), 0).alias("approved_quoted"), F.max(F.coalesce("stage_time", "time")).alias("last"))
+        one(~stage.isin("approved", "rejected", "changed", "expired")).alias("waiting"), even(F.round(F.sum("meters"), 2), 0).alias("meters"), even(F.round(F.sum("quote_total"), 2), 0).alias("quoted"),
+        even(F.round(F.sum(F.when(stage == "approved", F.col("quote_total")).otherwise(0.0)), 2), 0).alias("approved_quoted"), F.max(F.coalesce("stage_time", "time")).alias("last"))
     again = rows.where("event = 'repeat'").withColumn("client_key", client_key(F.col("client"))).where("client_key != ''")
-    repeats = again.groupBy("client_key").agg(F.count("*").alias("repeat_orders"), even(F.sum("quote_total"), 0).alias("repeat_quoted"), F.max("time").alias("last_repeat"))
+    repeats = again.groupBy("client_key").agg(F.count("*").alias("repeat_orders"), even(F.round(F.sum("quote_total"), 2), 0).alias("repeat_quoted"), F.max("time").alias("last_repeat"))
     own = rated.select(client_key(F.col("client")).alias("client_key")).distinct().withColumn("own_rates", F.lit(True))
     zero = lambda c, v=0: F.coalesce(c, F.lit(v)).alias(c)
     out = ended.join(repeats, "client_key", "full").join(own, "client_key", "left")
@@ -120,7 +120,7 @@ def quote(inks: DataFrame, jobs: DataFrame, underbase: bool = False, screens_rea
     out = sums.select("*", *[even(c, 2).alias(n) for n, c in cost.items()])
     before = even(sum((even(F.col(n) * up, 2) for n in cost), F.lit(0.0)), 2)
     out = out.withColumn("before_tax", before).withColumn("gst", even(F.col("before_tax") * CARD["gst_percent"] / 100, 2)).withColumn("total", even(F.col("before_tax") + F.col("gst"), 2))
-    return out.select("job", "screens", F.round("kg", 2).alias("kg"), F.round("ink_cost", 1).alias("ink_cost"), F.round("before_tax", 0).alias("before_tax"), F.round("total", 0).alias("total"), F.round(F.when(F.col("meters") > 0, F.col("total") / F.col("meters")).otherwise(0.0), 1).alias("per_meter"))
+    return out.select("job", "screens", F.round("kg", 3).alias("kg"), F.round("ink_cost", 2).alias("ink_cost"), "before_tax", "total", F.round(F.when(F.col("meters") > 0, F.col("total") / F.col("meters")).otherwise(0.0), 3).alias("per_meter"))
 
 
 def review(facts: DataFrame) -> DataFrame:

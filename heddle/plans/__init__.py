@@ -1,4 +1,4 @@
 """Registered queries over the given tables, and the SQL that checks them."""
 
-from . import ledgers, palettes  # noqa: F401
+from . import ledgers, palettes, rasters  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401

@@ -15,7 +15,7 @@ EVENT_COLUMNS = {
     "client": "case when user_id % 11 = 0 then '' when event_id % 3 = 0 then 'Client ' || cast(user_id % 40 as string) when event_id % 3 = 1 then '  CLIENT   ' || cast(user_id % 40 as string) || ' ' else 'client ' || cast(user_id % 40 as string) end",
     "status": "case when event_type = 'signup' then 'auto_ok' else 'needs_review' end",
     "stage": "case when event_type = 'view' then 'reviewed' when event_type = 'click' and event_id % 3 = 0 then 'approved' when event_type = 'click' and event_id % 3 = 1 then 'rejected' when event_type = 'click' then 'changed' end",
-    "meters": "value", "quote_total": "round(value * 71.5e0, 2)", "seconds": "cast(regexp_extract(props, '([0-9]+)', 1) as double)",
+    "meters": "value", "quote_total": "floor(value * 7150e0 + 0.5e0) / 100e0", "seconds": "cast(regexp_extract(props, '([0-9]+)', 1) as double)",
 }
 EVENTS = "(select " + ", ".join(f"{e} as {c}" for c, e in EVENT_COLUMNS.items()) + " from events)"
 
@@ -49,11 +49,11 @@ def _(spark, d):
 
 @query("l3_job_stats", f"""
 with g as (select coalesce(stage, 'new') as stage, strftime(time, '%Y-%m-%d') as day, status, quote_total, meters from {LATEST} q),
-s as (select stage, day, grouping(stage, day) as g, count(*) as designs, count(*) filter (status = 'auto_ok') as auto_ok, round_even(sum(quote_total), 0) as quoted, round_even(sum(meters), 0) as meters from g group by grouping sets ((), (stage), (day))),
+s as (select stage, day, grouping(stage, day) as g, count(*) as designs, count(*) filter (status = 'auto_ok') as auto_ok, round_even(round(sum(quote_total), 2), 0) as quoted, round_even(round(sum(meters), 2), 0) as meters from g group by grouping sets ((), (stage), (day))),
 w as (select sum(seconds) / 60 as engine, count(*) as runs from {STATE_IN} q), r as (select count(*) as repeats from {WINDOW} q where event = 'repeat')
 select case g when 3 then 'total' when 1 then 'stage' else 'day' end as kind, coalesce(stage, day, '') as key, designs, auto_ok, quoted, meters,
   case when g = 3 then runs end as runs, case when g = 3 then repeats end as repeats,
-  case when g = 3 then round_even(greatest(0, designs * 60 - (designs - auto_ok) * 10 - engine) / 60, 1) end as hours_saved from s, w, r""")
+  case when g = 3 then (round_even((greatest(0, designs * 60 - (designs - auto_ok) * 10 - engine) / 60) * 10, 0) / 10) end as hours_saved from s, w, r""")
 def _(spark, d):
     return L.job_stats(events(spark, d), DAYS, NOW)
 
@@ -62,9 +62,9 @@ def _(spark, d):
 with j as (select *, {KEY} as client_key from {STATE_IN} q where {KEY} <> ''),
 l as (select * from (select *, row_number() over (partition by client_key, {DESIGN} order by first_seq desc) as rn from j) z where rn = 1),
 e as (select client_key, count(*) as designs, count(*) filter (stage = 'approved') as approved, count(*) filter (stage = 'rejected') as rejected,
-  count(*) filter (coalesce(stage, 'new') not in ('approved', 'rejected', 'changed', 'expired')) as waiting, round_even(sum(meters), 0) as meters, round_even(sum(quote_total), 0) as quoted,
-  round_even(sum(case when stage = 'approved' then quote_total else 0 end), 0) as approved_quoted, max(coalesce(stage_time, time)) as last from l group by 1),
-r as (select {KEY} as client_key, count(*) as repeat_orders, round_even(sum(quote_total), 0) as repeat_quoted, max(time) as last_repeat from {WINDOW} q where event = 'repeat' and {KEY} <> '' group by 1)
+  count(*) filter (coalesce(stage, 'new') not in ('approved', 'rejected', 'changed', 'expired')) as waiting, round_even(round(sum(meters), 2), 0) as meters, round_even(round(sum(quote_total), 2), 0) as quoted,
+  round_even(round(sum(case when stage = 'approved' then quote_total else 0 end), 2), 0) as approved_quoted, max(coalesce(stage_time, time)) as last from l group by 1),
+r as (select {KEY} as client_key, count(*) as repeat_orders, round_even(round(sum(quote_total), 2), 0) as repeat_quoted, max(time) as last_repeat from {WINDOW} q where event = 'repeat' and {KEY} <> '' group by 1)
 select coalesce(e.client_key, r.client_key) as client_key, coalesce(designs, 0) as designs, coalesce(approved, 0) as approved, coalesce(rejected, 0) as rejected, coalesce(waiting, 0) as waiting,
   coalesce(repeat_orders, 0) as repeat_orders, coalesce(meters, 0) as meters, coalesce(quoted, 0) as quoted, coalesce(approved_quoted, 0) as approved_quoted, coalesce(repeat_quoted, 0) as repeat_quoted,
   coalesce(approved_quoted, 0) + coalesce(repeat_quoted, 0) as business, greatest(last, last_repeat) as last,
@@ -110,13 +110,13 @@ def quote_jobs(spark, d):
 
 def quote_sql(underbase: bool, ready: bool) -> str:
     lines = f"(select job, coverage, price from {PRICED} q" + (f" union all select job, least(100, sum(coverage)), 380::double from {PRICED} q group by 1)" if underbase else ")")
-    cost = {"screens": "0::double" if ready else "round_even(n * 1500::double, 2)", "ink": "round_even(ink, 2)", "fabric": "0::double", "printing": "round_even(meters * n * 6::double, 2)", "setup": "500::double"}
-    lined = " + ".join(f"round_even({c} * up, 2)" for c in cost.values())
+    cost = {"screens": "0::double" if ready else "(round_even((n * 1500::double) * 100, 0) / 100)", "ink": "(round_even((ink) * 100, 0) / 100)", "fabric": "0::double", "printing": "(round_even((meters * n * 6::double) * 100, 0) / 100)", "setup": "500::double"}
+    lined = " + ".join(f"(round_even(({c} * up) * 100, 0) / 100)" for c in cost.values())
     return f"""
 with l as (select l.job, j.meters, j.margin_percent, l.coverage * (j.meters * (44::double * 0.0254::double) * 80::double / 1000 * (1::double + 5::double / 100) / 100) as kg, l.price from {lines} l join {JOBS} j on j.job = l.job),
-s as (select job, any_value(meters) as meters, 1::double + any_value(margin_percent) / 100 as up, count(*) as n, sum(round_even(kg * price, 2)) as ink, sum(round_even(kg, 3)) as kg from l group by 1),
-b as (select *, round_even({lined}, 2) as before from s), t as (select *, round_even(before + round_even(before * 5::double / 100, 2), 2) as total from b)
-select job, n as screens, round(kg, 2) as kg, round(ink, 1) as ink_cost, round(before, 0) as before_tax, round(total, 0) as total, round(case when meters > 0 then total / meters else 0 end, 1) as per_meter from t"""
+s as (select job, any_value(meters) as meters, 1::double + any_value(margin_percent) / 100 as up, count(*) as n, sum((round_even((kg * price) * 100, 0) / 100)) as ink, sum((round_even((kg) * 1000, 0) / 1000)) as kg from l group by 1),
+b as (select *, (round_even(({lined}) * 100, 0) / 100) as before from s), t as (select *, (round_even((before + (round_even((before * 5::double / 100) * 100, 0) / 100)) * 100, 0) / 100) as total from b)
+select job, n as screens, round(kg, 3) as kg, round(ink, 2) as ink_cost, before as before_tax, total, round(case when meters > 0 then total / meters else 0 end, 3) as per_meter from t"""
 
 
 for name, kind in {"l5_quote": (False, False), "l6_quote_underbase": (True, False), "l7_quote_repeat_order": (False, True)}.items():
@@ -166,8 +166,8 @@ TRIALS = "(select o_custkey as design, case when o_orderpriority = '1-URGENT' th
 
 @query("l13_fill_judge", f"""
 with f as (select design, max(match) as match from {TRIALS} q where name <> 'reduce' group by 1), b as (select design, max(match) as match from {TRIALS} q where name = 'reduce' group by 1)
-select coalesce(f.design, b.design) as design, round(f.match, 4) as fill_match, round(b.match, 4) as reduce_match, round_even(f.match - b.match, 1) as margin,
-  case when f.match is null then 'no_fill' when b.match is null then 'no_reduce' when round_even(f.match - b.match, 1) >= -13 then 'close_enough' else 'too_far' end as reason from f full join b on f.design = b.design""")
+select coalesce(f.design, b.design) as design, round(f.match, 4) as fill_match, round(b.match, 4) as reduce_match, (round_even((f.match - b.match) * 10, 0) / 10) as margin,
+  case when f.match is null then 'no_fill' when b.match is null then 'no_reduce' when (round_even((f.match - b.match) * 10, 0) / 10) >= -13 then 'close_enough' else 'too_far' end as reason from f full join b on f.design = b.design""")
 def _(spark, d):
     t = X.named(spark, d, "orders").selectExpr("o_custkey as design", "case when o_orderpriority = '1-URGENT' then 'reduce' else o_orderpriority end as name", "round(o_totalprice % 100, 2) as match")
     return L.decide(t)
