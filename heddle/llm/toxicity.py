@@ -124,7 +124,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, stem: i
     """
     marks = labels.where(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     marks = marks.where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    rows = docs.select("doc_id", "text").join(marks, "doc_id").select(F.col("text"), "toxic")
+    rows = docs.select("doc_id", "text").join(F.broadcast(marks), "doc_id").select(F.col("text"), "toxic")
     tokens = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"\p{L}+"), F.lit(0)))
     listed = rows.select("toxic", F.array_distinct(F.concat(F.transform(tokens, lambda w: F.concat(F.lit("="), w)), F.transform(F.filter(tokens, lambda w: F.length(w) > stem), lambda w: F.substring(w, 1, stem)))).alias("terms"))
     totals = listed.agg(F.sum("toxic"), F.sum(1 - F.col("toxic"))).first()
