@@ -49,17 +49,17 @@ def jump_hash(key: Column, shards: int) -> Column:
     return F.element_at(F.transform(rest, result), 1)
 
 
-def shard(docs: DataFrame, shards: int = 8, blocks: int = 1024) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 8) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
     Only doc_id and ``shards`` decide the shard (law ``key``); with one more shard, rows move into the new one only.
     A null doc_id counts as key 0, a null text as empty (size 1, checksum 0). Slots run from 0 without gaps in each shard:
-    rows are numbered within ``blocks`` hashed blocks a shard, and the blocks' counts give the offsets, so a shard is never
+    rows are numbered within 4096 hashed blocks a shard, and the blocks' counts give the offsets, so a shard is never
     in one task. Rows repeated in full get different slots. Columns other than doc_id and text are ignored.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
     rows = rows.withColumn("_j", jump_hash(F.col("doc_id"), shards)).select("*", F.lit("key").alias("law"), F.col("_j.shard").alias("shard"), F.col("_j.grown").alias("grown_shard")).drop("_j")
-    rows = rows.withColumn("_block", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(blocks)).cast("int"))
-    slots = running(rows, "shard", "_block", ["doc_id", "text_crc32", "size"], F.lit(1).cast("long"), "slot", most=shards * blocks)
+    rows = rows.withColumn("_block", F.conv(F.substring(F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("text_crc32").cast("string")).cast("binary")), 1, 3), 16, 10).cast("int"))
+    slots = running(rows, "shard", "_block", ["doc_id", "text_crc32", "size"], F.lit(1).cast("long"), "slot", most=shards * 4096)
     return slots.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
