@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -92,13 +92,14 @@ def fragments(index: int, num: int, den: int) -> tuple[int, int]:
         f += max(1, f // 50)
 
 
-def signatures(h: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Hashes of a set's fragments, for its own class and, if a linked set can be in the class below, for that too.
+def signatures(h: np.ndarray, num: int, den: int) -> tuple[np.ndarray, list[int]]:
+    """Hashes of a set's fragments, for its own class and, if a linked set can be in the class below, for that too; and by the
+    parity of the class, which the lowest bit of its hashes shows, one more than the fragments that can differ less all hashes.
 
     Classes belong to the smaller set of a pair. A set that fills no more fragments than it can differ in also signs its empty
     ones: two such sets that agree only there still meet.
     """
-    out, size = [], len(h)
+    out, size, spare = [], len(h), [0, 0]
     own = class_of(size)
     for index in {own, own - 1} if own and -(-size * num // den) < class_bounds(own) else {own}:
         f, most = fragments(index, num, den)
@@ -107,11 +108,15 @@ def signatures(h: np.ndarray, num: int, den: int) -> np.ndarray:
         filled = place[first]
         sums = np.add.reduceat(mixed(h ^ np.uint64(0xA5A5A5A5A5A5A5A5)), first)
         tag = np.uint64((index + 1) * 0xD6E8FEB86659FD93 % (1 << 64))
-        out.append(mixed(sums + mixed(filled + tag)))
-        if len(filled) <= allowed(size, min(most, size * den // num), num, den):
+        found = [mixed(sums + mixed(filled + tag))]
+        can_differ = allowed(size, min(most, size * den // num), num, den)
+        if len(filled) <= can_differ:
             empty = np.setdiff1d(np.arange(f, dtype=np.uint64), filled)
-            out.append(mixed(mixed(empty + tag) + np.uint64(1)))
-    return np.concatenate(out)
+            found.append(mixed(mixed(empty + tag) + np.uint64(1)))
+        found = np.concatenate(found)
+        out.append(found & ~np.uint64(1) | np.uint64(index & 1))
+        spare[index & 1] = can_differ + 1 - len(found)
+    return np.concatenate(out), spare
 
 
 def set_id(h: np.ndarray) -> int:
@@ -120,8 +125,8 @@ def set_id(h: np.ndarray) -> int:
 
 
 def signed_sets(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """doc_id, n_shingles, set_id (null for the empty set), signatures (none where the task has had an equal set before)."""
-    fields = [T.StructField("n_shingles", T.LongType()), T.StructField("set_id", T.LongType()), T.StructField("signatures", T.ArrayType(T.LongType()))]
+    """doc_id, n_shingles, set_id (null for the empty set), signatures (none where the task has had an equal set before), spare_0, spare_1."""
+    fields = [T.StructField("n_shingles", T.LongType()), T.StructField("set_id", T.LongType()), T.StructField("signatures", T.ArrayType(T.LongType())), T.StructField("spare_0", T.IntegerType()), T.StructField("spare_1", T.IntegerType())]
 
     def make():
         shingler, seen = Shingler(n), set()
@@ -129,13 +134,14 @@ def signed_sets(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
         def one(text: str) -> tuple:
             h = shingler(text)
             if not len(h):
-                return 0, None, []
+                return 0, None, [], None, None
             key = set_id(h)
             if key in seen:
-                return len(h), key, []
+                return len(h), key, [], None, None
             if len(seen) < REMEMBERED:
                 seen.add(key)
-            return len(h), key, signatures(h, num, den).view(np.int64)
+            signed, spare = signatures(h, num, den)
+            return len(h), key, signed.view(np.int64), *spare
 
         return lambda texts: list(zip(*map(one, texts), strict=True))
 
@@ -167,6 +173,22 @@ def bucket_members(signed: DataFrame) -> DataFrame:
     return rows.mapInArrow(runs, "bucket long, first long, set_id long")
 
 
+def rarest(members: DataFrame, spare: DataFrame) -> DataFrame:
+    """``members`` in each set's rarest buckets only, as many as any link must still meet in.
+
+    Linked sets agree in all but D of a set's m fragments, so they share m - D buckets; of two lists that share so many, in one
+    common order, the first D + 1 of each already meet. The order is by size: buckets of one set come first and need no row.
+    """
+    members = members.select("bucket", "set_id")
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("_n"))
+    mine = Window.partitionBy("set_id", "_class")
+    rows = members.join(sizes, "bucket").withColumn("_class", F.col("bucket").bitwiseAND(F.lit(1))).join(spare, "set_id")
+    rows = rows.withColumn("_rank", F.row_number().over(mine.orderBy("_n", "bucket"))).withColumn("_keep", F.count("*").over(mine) + F.when(F.col("_class") == 0, F.col("spare_0")).otherwise(F.col("spare_1")))
+    rows = cut(rows.where("_rank <= _keep").select("bucket", "set_id"))
+    firsts = rows.groupBy("bucket").agg(F.min("set_id").alias("first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    return rows.join(firsts, "bucket").select("bucket", "first", "set_id")
+
+
 def shingle_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     """set_id, size, p0, rest: the hashes of the wanted sets, cut into ``PARTS`` parts of the global order; p0 is the first part."""
     fields = [T.StructField("found", T.LongType()), T.StructField("size", T.LongType()), T.StructField("p0", T.ArrayType(T.LongType())), T.StructField("rest", T.ArrayType(T.ArrayType(T.LongType())))]
@@ -204,16 +226,23 @@ def linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return both.withColumn("o", overlap).where(den * F.col("o") >= num * (F.col("x") + F.col("y") - F.col("o"))).select("a", "b")
 
 
-def rest_of_buckets(members: DataFrame, labels: DataFrame, sets: DataFrame, num: int, den: int, most: int = 1024) -> DataFrame:
+def rest_of_buckets(members: DataFrame, labels: DataFrame, sets: DataFrame, num: int, den: int, most: int = 1024, cluster: int = 8192) -> DataFrame:
     """Links between the sets of a bucket that neither share a component yet nor were tested against the bucket's first.
 
-    The sets outside the bucket's commonest component meet all of its sets, in cells of at most ``most`` by ``most`` sets, fewer
+    Sets that meet in many buckets would be sent for each: so buckets that hang together count as one, as long as they hold
+    at most ``cluster`` sets; larger clusters are left as their buckets. The sets outside the bucket's commonest component meet all of its sets, in cells of at most ``most`` by ``most`` sets, fewer
     if the sets are large. A cell counts overlaps part by part, sums them, and returns a spanning forest of its links.
     """
     known = members.where("set_id != first").select("bucket", "set_id").join(labels.withColumnRenamed("node", "set_id"), "set_id", "left")
     known = known.select("bucket", "set_id", F.coalesce("root", "set_id").alias("comp"))
     open_ = known.groupBy("bucket").agg(F.min("comp").alias("_a"), F.max("comp").alias("_z")).where("_a != _z").select("bucket")
     known = cut(known.join(open_, "bucket").join(sets.select("set_id", "size"), "set_id"))
+    firsts = known.groupBy("bucket").agg(F.min("set_id").alias("a"))
+    roots = components(known.join(firsts, "bucket").select("a", F.col("set_id").alias("b")))
+    sizes = roots.groupBy("root").agg(F.count("*").alias("_n")).where(F.col("_n") <= cluster)
+    kept = roots.join(sizes, "root").select(F.col("node").alias("set_id"), F.col("root").alias("_root"))
+    known = known.join(kept, "set_id", "left").withColumn("bucket", F.when(F.col("_root").isNull(), F.xxhash64(F.lit("bucket"), "bucket")).otherwise(F.xxhash64(F.lit("cluster"), "_root")))
+    known = cut(known.select("bucket", "set_id", "comp", "size").distinct())
     counts = known.groupBy("bucket", "comp").agg(F.count("*").alias("n"), F.max("size").alias("size"))
     tops = counts.groupBy("bucket").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n"), F.max("size").alias("size"))
     room = F.greatest(F.lit(16), F.least(F.lit(most), F.floor(F.lit(1 << 21) / F.col("size")))).cast("int")
@@ -274,9 +303,9 @@ def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFram
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = written(signed_sets(docs, n, num, den))
-    sets = cut(signed.where("set_id is not null and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc_id")))
-    members = written(bucket_members(signed.where("doc_id is not null")))
-    wanted = cut(members.select("set_id").distinct().join(sets, "set_id"))
+    sets = cut(signed.where("set_id is not null and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.max("spare_0").alias("spare_0"), F.max("spare_1").alias("spare_1")))
+    members = written(rarest(written(bucket_members(signed.where("doc_id is not null"))), sets.drop("doc_id")))
+    wanted = cut(members.select("set_id").distinct().join(sets.select("set_id", "doc_id"), "set_id"))
     hashes = written(shingle_sets(docs, wanted, n))
     pairs = members.where("set_id != first").select(F.col("first").alias("a"), F.col("set_id").alias("b")).distinct()
     links = cut(linked(pairs, hashes, num, den))
@@ -284,7 +313,7 @@ def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFram
     more = cut(rest_of_buckets(members, labels, hashes, num, den))
     if more.limit(1).count():
         labels = components(labels.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
-    named = sets.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+    named = sets.select("set_id", "doc_id").join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     smallest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     classes = named.join(smallest, "root").select("set_id", "component_id")
     rows = signed.select("doc_id", "n_shingles", "set_id")
