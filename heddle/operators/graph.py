@@ -17,16 +17,21 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, root (the smallest node reached), for every node of the edges a, b.
+    """node, root (the smallest node reached), for every node of the edges a, b, by alternating large and small stars.
 
-    Each round gives every node the smallest label around it, then follows labels once (label of the label), so chains halve.
+    A node's larger neighbours, then its smaller ones, are hung on the smallest until nothing moves. Minima are joined back, so
+    no node's neighbours are gathered.
     """
-    both = cut(edges.selectExpr("a as u", "b as v").unionByName(edges.selectExpr("b as u", "a as v")).distinct())
-    labels = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("root")))
+    e = cut(edges.selectExpr("greatest(a, b) as a", "least(a, b) as b").where("a != b").distinct())
+    last = None
     while True:
-        near = both.join(labels.selectExpr("u as v", "root as r"), "v").groupBy("u").agg(F.min("r").alias("r"))
-        best = labels.join(near, "u").select("u", F.least("root", "r").alias("root"), F.col("root").alias("was"))
-        best = cut(best.join(labels.selectExpr("u as root", "root as up"), "root").select("u", F.least("root", "up").alias("root"), "was"))
-        if not best.where("root != was").limit(1).count():
-            return best.selectExpr("u as node", "root")
-        labels = best.select("u", "root")
+        both = e.selectExpr("a as u", "b as v").unionByName(e.selectExpr("b as u", "a as v"))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).selectExpr("u", "least(u, m) as m")
+        large = both.join(least, "u").where("v > u").selectExpr("v as a", "m as b").where("a != b").distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        moved = large.join(low, "a").selectExpr("b as a", "m as b").where("a != b")
+        e = cut(moved.unionByName(low.selectExpr("a", "m as b")).distinct())
+        now = tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
+        if now == last or not now[0]:
+            return e.selectExpr("a as node", "b as root").unionByName(e.selectExpr("b as node", "b as root").distinct())
+        last = now
