@@ -139,7 +139,7 @@ def soft_edge(pixels: DataFrame) -> DataFrame:
     off = lambda c: F.coalesce(~c, F.lit(False))
     beside = off(F.lag("m").over(row())) | off(F.lead("m").over(row())) | off(F.lag("m").over(column())) | off(F.lead("m").over(column()))
     out = rows.withColumn("_e", F.col("m") & beside).groupBy("d").agg(F.sum(((F.col("a") > 0) & (F.col("a") < 255)).cast("long")).alias("partial"), F.sum(F.col("_e").cast("long")).alias("edge"))
-    return out.select("d", "partial", "edge", F.when(F.col("edge") > 0, F.round(F.col("partial") / F.col("edge"), 2)).otherwise(0.0).alias("soft_edge"))
+    return out.select("d", "partial", "edge", F.when(F.col("edge") > 0, F.round(F.col("partial") / F.col("edge"), 4)).otherwise(0.0).alias("soft_edge"))
 
 
 def runs(labels: DataFrame) -> DataFrame:

@@ -124,7 +124,7 @@ SOFT_A = f"(select d, x, y, case when cp = 33 then 0 when cp = 44 then 90 when c
 
 
 @query("a10_soft_edge_width", f"""
-select d, count(*) filter (a > 0 and a < 255) as partial, count(*) filter (m and o) as edge, case when count(*) filter (m and o) > 0 then round(count(*) filter (a > 0 and a < 255) / count(*) filter (m and o), 2) else 0 end as soft_edge
+select d, count(*) filter (a > 0 and a < 255) as partial, count(*) filter (m and o) as edge, case when count(*) filter (m and o) > 0 then round(count(*) filter (a > 0 and a < 255) / count(*) filter (m and o), 4) else 0 end as soft_edge
 from (select *, {' or '.join(f'not coalesce({f}(m) over {w}, true)' for f in ('lag', 'lead') for w in (R_, C_))} as o from (select *, a >= 128 as m from {SOFT_A} q) z) y group by 1""")
 def _(spark, d):
     return R.soft_edge(X.chars(spark, d).selectExpr("d", "x", "y", "case when cp = 33 then 0 when cp = 44 then 90 when cp = 46 then 200 else 255 end as a"))
