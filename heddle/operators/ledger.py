@@ -120,7 +120,7 @@ def quote(inks: DataFrame, jobs: DataFrame, underbase: bool = False, screens_rea
     out = sums.select("*", *[even(c, 2).alias(n) for n, c in cost.items()])
     before = even(sum((even(F.col(n) * up, 2) for n in cost), F.lit(0.0)), 2)
     out = out.withColumn("before_tax", before).withColumn("gst", even(F.col("before_tax") * CARD["gst_percent"] / 100, 2)).withColumn("total", even(F.col("before_tax") + F.col("gst"), 2))
-    return out.select("job", "screens", F.round("kg", 3).alias("kg"), F.round("ink_cost", 2).alias("ink_cost"), "before_tax", "total", F.round(F.when(F.col("meters") > 0, F.col("total") / F.col("meters")).otherwise(0.0), 3).alias("per_meter"))
+    return out.select("job", "screens", F.round("kg", 3).alias("kg"), F.round("ink_cost", 2).alias("ink_cost"), "before_tax", "total", F.round(F.when(F.col("meters") > 0, F.col("total") / F.col("meters")).otherwise(0.0), 5).alias("per_meter"))
 
 
 def review(facts: DataFrame) -> DataFrame:

@@ -116,7 +116,7 @@ def quote_sql(underbase: bool, ready: bool) -> str:
 with l as (select l.job, j.meters, j.margin_percent, l.coverage * (j.meters * (44::double * 0.0254::double) * 80::double / 1000 * (1::double + 5::double / 100) / 100) as kg, l.price from {lines} l join {JOBS} j on j.job = l.job),
 s as (select job, any_value(meters) as meters, 1::double + any_value(margin_percent) / 100 as up, count(*) as n, sum((round_even((kg * price) * 100, 0) / 100)) as ink, sum((round_even((kg) * 1000, 0) / 1000)) as kg from l group by 1),
 b as (select *, (round_even(({lined}) * 100, 0) / 100) as before from s), t as (select *, (round_even((before + (round_even((before * 5::double / 100) * 100, 0) / 100)) * 100, 0) / 100) as total from b)
-select job, n as screens, round(kg, 3) as kg, round(ink, 2) as ink_cost, before as before_tax, total, round(case when meters > 0 then total / meters else 0 end, 3) as per_meter from t"""
+select job, n as screens, round(kg, 3) as kg, round(ink, 2) as ink_cost, before as before_tax, total, round(case when meters > 0 then total / meters else 0 end, 5) as per_meter from t"""
 
 
 for name, kind in {"l5_quote": (False, False), "l6_quote_underbase": (True, False), "l7_quote_repeat_order": (False, True)}.items():
