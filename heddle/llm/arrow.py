@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -10,7 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 #: Texts handed over at a time hold about so many characters, so long ones don't pile up.
-CHUNK_CHARS = 2_000_000
+CHUNK_CHARS = 1_000_000
 
 
 def chunks(texts: list[str]) -> Iterator[list[str]]:
@@ -25,6 +28,14 @@ def chunks(texts: list[str]) -> Iterator[list[str]]:
         yield part
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: Python workers live on from task to task, and would keep the peak of each."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def with_columns(df: DataFrame, text: str, fields: list[T.StructField], make: Callable[[], Callable[[list[str]], list[list]]], keep: list[str] | None = None) -> DataFrame:
     """``df`` (or its columns ``keep``) with ``fields`` added. Input columns of the same names give way.
 
@@ -45,5 +56,7 @@ def with_columns(df: DataFrame, text: str, fields: list[T.StructField], make: Ca
                 rows, done = batch.slice(done, len(part)), done + len(part)
                 added = [pa.array(values, kind) for values, kind in zip(work(part), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([*rows.columns[: len(kept)], *added], names=[*kept, *(f.name for f in fields)])
+        work = batch = rows = added = part = None
+        give_back()
 
     return df.select(*[df[f"`{c}`"] for c in sent]).mapInArrow(run, schema)

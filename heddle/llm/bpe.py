@@ -9,8 +9,8 @@ from pyspark.sql import types as T
 from . import tokenizer_files as files
 from .arrow import with_columns
 
-#: Encoded words, and checked pairs, that a task remembers; it forgets all when full.
-REMEMBERED = 400_000
+#: Encoded words that a task remembers, and a fourfold of checked pairs; it forgets all when full.
+REMEMBERED = 120_000
 
 
 class Encoder:
@@ -22,7 +22,8 @@ class Encoder:
     """
 
     def __init__(self, file: str):
-        self.cutter, self.model = files.Cutter(file), files.opened(file).model
+        self.cutter = files.Cutter(file)
+        self.model = self.cutter.tokenizer.model
         self.ids: dict[str, int] = files.parsed(file)["model"]["vocab"]
         self.strings = {i: s for s, i in self.ids.items()}
         self.longest: dict[str, int] = {}

@@ -26,7 +26,7 @@ from .common import cut, small, written
 from .components import components
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-REMEMBERED = 500_000
+REMEMBERED = 120_000
 #: Fragments in which overlaps are counted.
 PARTS = 4
 #: Ratio of the bounds of size classes.
@@ -138,7 +138,7 @@ def signed_sets(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
             key = set_id(h)
             if key in seen:
                 return len(h), key, [], None, None
-            if len(seen) < REMEMBERED:
+            if len(seen) < 4 * REMEMBERED:
                 seen.add(key)
             signed, spare = signatures(h, num, den)
             return len(h), key, signed.view(np.int64), *spare

@@ -18,8 +18,9 @@ def whole_tokens(text: str) -> list[str]:
 
     Proven for each vocabulary string by merging it alone: being in the vocabulary isn't enough, as some strings can't be reached.
     """
-    model, suffix = files.opened(text).model, files.parsed(text)["model"].get("end_of_word_suffix") or ""
-    ends = (w[: len(w) - len(suffix)] for w in files.parsed(text)["model"]["vocab"] if w.endswith(suffix) and len(w) > len(suffix))
+    model, file = files.opened(text).model, files.parsed(text)["model"]
+    suffix = file.get("end_of_word_suffix") or ""
+    ends = (w[: len(w) - len(suffix)] for w in file["vocab"] if w.endswith(suffix) and len(w) > len(suffix))
     return [w for w in ends if len(model.tokenize(w)) == 1]
 
 
@@ -45,7 +46,8 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, text: str = "text", limit
 
     def make():
         file, proven = sent.value
-        cutter, model = files.Cutter(file), files.opened(file).model
+        cutter = files.Cutter(file)
+        model = cutter.tokenizer.model
         whole = set(proven)
         plain_whole = {x for x in map(as_text, proven) if x is not None}
         known: dict[tuple[str, bool], int] = {}

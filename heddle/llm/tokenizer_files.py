@@ -6,7 +6,6 @@ normalizer and pre-tokenizer, as their tables of Unicode properties may be of an
 
 from __future__ import annotations
 
-import functools
 import json
 import re
 
@@ -28,12 +27,11 @@ def read(path: str) -> str:
         return file.read()
 
 
-@functools.lru_cache(2)
 def opened(text: str) -> Tokenizer:
+    """The tokenizer of a file's text. A task opens it once and lets it go at its end."""
     return Tokenizer.from_str(text)
 
 
-@functools.lru_cache(2)
 def parsed(text: str) -> dict:
     return json.loads(text)
 
@@ -64,9 +62,13 @@ def is_latin1(text: str) -> bool:
     return True
 
 
+def opened_tokens(text: str) -> list[dict]:
+    return parsed(text)["added_tokens"]
+
+
 def specials(text: str) -> tuple[re.Pattern | None, dict[str, int]]:
     """Pattern and ids of the special strings, which a text is cut at first."""
-    found = {t["content"]: t["id"] for t in parsed(text)["added_tokens"]}
+    found = {t["content"]: t["id"] for t in opened_tokens(text)}
     return (re.compile("(" + "|".join(map(re.escape, sorted(found, key=len, reverse=True))) + ")") if found else None), found
 
 
