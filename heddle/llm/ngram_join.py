@@ -94,10 +94,10 @@ def fragments(index: int, num: int, den: int) -> tuple[int, int]:
 
 def signatures(h: np.ndarray, num: int, den: int) -> tuple[np.ndarray, list[int]]:
     """Hashes of a set's fragments, for its own class and, if a linked set can be in the class below, for that too; and by the
-    parity of the class, which the lowest bit of its hashes shows, one more than the fragments that can differ less all hashes.
+    parity of the class, which the lowest bit of its hashes shows, one more than the fragments that can differ less those filled.
 
     Classes belong to the smaller set of a pair. A set that fills no more fragments than it can differ in also signs its empty
-    ones: two such sets that agree only there still meet.
+    ones: two such sets that agree only there still meet. A set linked to it may sign none, so no empty one counts as shared.
     """
     out, size, spare = [], len(h), [0, 0]
     own = class_of(size)
@@ -115,7 +115,7 @@ def signatures(h: np.ndarray, num: int, den: int) -> tuple[np.ndarray, list[int]
             found.append(mixed(mixed(empty + tag) + np.uint64(1)))
         found = np.concatenate(found)
         out.append(found & ~np.uint64(1) | np.uint64(index & 1))
-        spare[index & 1] = can_differ + 1 - len(found)
+        spare[index & 1] = can_differ + 1 - len(filled)
     return np.concatenate(out), spare
 
 
@@ -176,8 +176,9 @@ def bucket_members(signed: DataFrame) -> DataFrame:
 def rarest(members: DataFrame, spare: DataFrame) -> DataFrame:
     """``members`` in each set's rarest buckets only, as many as any link must still meet in.
 
-    Linked sets agree in all but D of a set's m fragments, so they share m - D buckets; of two lists that share so many, in one
-    common order, the first D + 1 of each already meet. The order is by size: buckets of one set come first and need no row.
+    Linked sets agree in all but D of a set's m filled fragments, so they share m - D buckets; of two lists that share so many, in
+    one common order, the first D + 1 of each already meet, or D + 1 and as many as there are empty ones where a set signs those.
+    The order is by size: buckets of one set come first and need no row.
     """
     members = members.select("bucket", "set_id")
     sizes = members.groupBy("bucket").agg(F.count("*").alias("_n"))

@@ -139,6 +139,53 @@ def test_ngram_join_near_copies_in_a_crowd(spark):
     assert got == want
 
 
+def near_pairs(count, seed):
+    """Texts of 4 to 30 four-word shingles, and each with a word or two more, fewer or other."""
+    rnd = random.Random(seed)
+    for _ in range(count):
+        a = [f"n{rnd.randrange(1 << 40)}" for _ in range(rnd.randint(7, 33))]
+        b = list(a)
+        for _ in range(rnd.choice([1, 1, 2])):
+            b = rnd.choice([[*b, "x"], ["y", *b], b[1:], [*b[:-1], "z"]])
+        yield " ".join(a), " ".join(b)
+
+
+def test_ngram_prefixes_of_small_sets():
+    """Whatever the order of buckets, both sets of a linked pair keep the first one they share."""
+    shingler = ngram_join.Shingler(4)
+    for a, b in near_pairs(4000, 21):
+        h = [shingler(x) for x in (a, b)]
+        o = len(np.intersect1d(*h))
+        if 100 * o < 80 * (len(h[0]) + len(h[1]) - o):
+            continue
+        signed, spares = zip(*(ngram_join.signatures(x, 80, 100) for x in h), strict=True)
+        met = []
+        for k in (0, 1):
+            own = [{int(x) for x in s if int(x) & 1 == k} for s in signed]
+            both = own[0] & own[1]
+            met.append(bool(both) and all(len(x - both) < len(x) + s[k] for x, s in zip(own, spares, strict=True)))
+        assert any(met), (a, b)
+
+
+def test_ngram_join_small_near_pairs(spark):
+    """A set that signs its empty fragments and one that doesn't, alone; then many near pairs, and a large family of them."""
+    shingler = ngram_join.Shingler(4)
+    fragment = lambda text: {int(x) * 3 >> 64 for x in shingler(text)}
+    alone = [f"n{next(i for i in itertools.count() if len(fragment(t := ' '.join(f'n{i}{c}' for c in 'abcdefg'))) == 1 and len(fragment(t + ' x')) == 2)}{c}" for c in "abcdefg"]
+    alone = [" ".join(alone), " ".join([*alone, "x"])]
+    crowd = [t for pair in near_pairs(150, 22) for t in pair]
+    rnd = random.Random(23)
+    base = [f"f{k}" for k in range(13)]
+    for _ in range(200):
+        words = base[: rnd.randint(9, 13)]
+        words[rnd.choice([0, -1])] = f"e{rnd.randrange(60)}"
+        crowd.append(" ".join(words))
+    for texts in (alone, crowd):
+        rows = list(enumerate(texts))
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string"), 4, 80, 100).collect()}
+        assert got == brute_classes(rows, 4, 80, 100)
+
+
 def test_ngram_join_empty_and_keep_one(docs, rows, empty):
     assert ngram_join.join(empty).count() == 0
     kept = ngram_join.keep_one(docs)
