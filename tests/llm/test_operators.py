@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import inspect
 import itertools
 import math
 import random
@@ -411,6 +412,20 @@ def test_seating_follows_the_restaurant():
         assert abs(fast - np.mean(slow)) < 0.08 * np.mean(slow)
 
 
+def test_large_groups_are_seated_one_by_one():
+    rnd = np.random.default_rng(8)
+    n, a, d = 4000, 60.0, 0.6
+    t = np.ones(3000)
+    for s in range(1, n):
+        t += rnd.random(3000) < a / (s - d * t + a)
+    fast = lm.open_tables(np.full(3000, n), np.full(3000, a), d, rnd)
+    assert abs(fast.mean() - t.mean()) < 0.005 * t.mean()
+
+
+def test_sweeps_before_samples():
+    assert all(inspect.signature(f).parameters["burn_in"].default >= 2 for f in (lm.fit, lm.score))
+
+
 def test_registered():
     names = [f"op{n}_" for n in range(1, 11)]
     assert all(sum(q.startswith(n) for q in queries.QUERIES) == 1 for n in names)
