@@ -49,6 +49,8 @@ TO_BYTES = {s: b for b, s in SIGNS.items()}
 
 
 def signs(text: str) -> str:
+    if text.isascii() and text.isprintable():
+        return text.replace(" ", SIGNS[0x20])
     return text.encode("utf-8", "replace").decode("latin-1").translate(TO_SIGNS)
 
 
