@@ -27,9 +27,11 @@ def let(value: Column, use) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (local runs)."""
+    """Folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset and all runs in one process."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = getattr(spark, "_heddle_dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark._heddle_dir = path
     return path
@@ -50,11 +52,51 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores before them until ``df`` has no such column."""
+    there, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in there:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def small(df: DataFrame, most: int) -> DataFrame:
     """A broadcast hint, only if the counted rows stay within ``most``; beyond, Spark shuffles the join."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def hashed_sample(df: DataFrame, key: Column, most: int) -> DataFrame:
+    """About ``most`` rows at most, those whose 64-bit hash ``key`` lies in a range sized by the count; all rows if there are no more.
+
+    No partition hands over more than its share. The limit behind it holds the bound where many rows have one hash.
+    """
+    n = df.count()
+    if n <= most:
+        return df
+    return df.where(F.pmod(key, F.lit(1 << 30)) < int((1 << 30) * 0.95 * most / n)).limit(most)
+
+
+#: A key is frequent from this share of all rows on, so at most so many keys are.
+FREQUENT = 2000
+
+
+def spread_join(rows: DataFrame, facts: DataFrame, key: str, counted: str, total: int) -> DataFrame:
+    """``rows`` joined (inner) with ``facts``, one row a ``key``, so that no task gets all rows of a frequent key.
+
+    ``counted`` is a column of ``facts`` (dropped) with the number of rows that have the key. Keys of more than ``total`` / FREQUENT rows
+    are fewer than FREQUENT, so their facts are broadcast; the others are joined by a shuffle.
+    """
+    frequent = F.col(counted) * FREQUENT > F.lit(total)
+    facts = facts.withColumn("_frequent", frequent).drop(counted)
+    many = F.broadcast(facts.where("_frequent").drop("_frequent").withColumn("_there", F.lit(True)))
+    marked = rows.join(many, key, "left")
+    names = [c for c in facts.columns if c not in (key, "_frequent")]
+    few = marked.where("_there is null").drop(*names, "_there").join(facts.where("not _frequent").drop("_frequent"), key)
+    return marked.where("_there").drop("_there").unionByName(few)
+
+
 def running(df: DataFrame, group: str, block: str, order: list[str], value: Column, out: str, most: int = 200_000) -> DataFrame:
     """Sum of ``value`` over the rows that come before, in each ``group`` by ``block`` and then ``order``.
 

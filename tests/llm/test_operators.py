@@ -187,6 +187,59 @@ def test_ngram_join_small_near_pairs(spark):
         assert got == brute_classes(rows, 4, 80, 100)
 
 
+def edited_pairs(seed):
+    """Texts of 1 to 80 four-word shingles, each beside an edit of one word at either end, inside, or one word more or less."""
+    rnd = random.Random(seed)
+    for size in range(1, 81):
+        for _ in range(4):
+            a = [f"q{rnd.randrange(1 << 40)}" for _ in range(size + 3)]
+            at = rnd.randrange(len(a))
+            yield from ((" ".join(a), " ".join(b)) for b in (a[:-1], a[1:], ["y", *a], [*a, "x"], ["z", *a[1:]], [*a[:-1], "z"], [*a[:at], "m", *a[at + 1 :]]))
+
+
+def test_ngram_join_one_word_edits(spark):
+    """Isolated pairs of all small sizes, and one that the bucket order once parted."""
+    parted = "w158770 w826038 w7216 w611342 w464342 w373018 w424648 w551170 w820727 w26776 w986521"
+    texts = [parted, parted.rsplit(" ", 1)[0], *(t for pair in edited_pairs(31) for t in pair)]
+    pairs, shingler = list(zip(texts[::2], texts[1::2], strict=True)), ngram_join.Shingler(4)
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in ngram_join.join(frame, 4, 85, 100).collect()}
+    for k, (a, b) in enumerate(pairs):
+        x, y = shingler(a), shingler(b)
+        o = len(np.intersect1d(x, y))
+        if 100 * o >= 85 * (len(x) + len(y) - o):
+            assert got[2 * k] == got[2 * k + 1], (a, b)
+    assert got[0] == got[1] == 0
+
+
+@pytest.mark.parametrize("sizes", [{}, {"most": 16, "cluster": 4}])
+def test_ngram_cells_of_any_size(spark, sizes):
+    """Sets of one bucket meet in cells: the bounds of cells and clusters change the work, not the links."""
+    rnd = random.Random(37)
+    base = [f"b{k}" for k in range(60)]
+    rows = []
+    for i in range(60):
+        words = list(base)
+        for _ in range(rnd.choice([1, 2, 3])):
+            words[rnd.randrange(len(words))] = f"e{rnd.randrange(1 << 30)}"
+        rows.append((i, " ".join(words)))
+    docs, whole = spark.createDataFrame(rows, "doc_id long, text string"), ngram_join.rest_of_buckets
+    try:
+        ngram_join.rest_of_buckets = lambda *a: whole(*a, **sizes)
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.join(docs, 4, 85, 100).collect()}
+    finally:
+        ngram_join.rest_of_buckets = whole
+    assert got == brute_classes(rows, 4, 85, 100)
+
+
+def test_keep_one_judges_texts_of_a_doc_id_apart(spark):
+    words = [f"k{i}" for i in range(40)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words, "more"])), (2, "quite another text of its own"), (3, "quite another text of its own"), (3, "a third text of its own"), (4, None), (4, None), (3, "a third text of its own")]
+    kept = ngram_join.keep_one(spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, _key int, component_id int"))
+    assert kept.columns == ["doc_id", "text", "_key", "component_id"]
+    assert sorted_rows(kept, "doc_id", "text") == sorted([rows[0], rows[2], rows[4], rows[5], rows[6]], key=repr)
+
+
 def test_ngram_join_empty_and_keep_one(docs, rows, empty):
     assert ngram_join.join(empty).count() == 0
     kept = ngram_join.keep_one(docs)
@@ -317,11 +370,59 @@ def test_toxicity(spark, docs, empty):
 
 def test_toxic_clauses():
     grammar = toxicity.Grammar({"idiot": 4.0}, {"snarl": 3.0}, 5, (0.0,) * 5)
-    tagger = toxicity.Tagger(grammar)
-    plain, aimed, negated, reported = (toxicity.features(t, tagger) for t in ("what an idiot", "you are an idiot", "you are not an idiot", 'he said "you idiot"'))
-    assert plain[0] > 0 and plain[1] == 0 and aimed[1] > 0
-    assert negated[0] == 0 and negated[2] > 0 and reported[0] == 0
-    assert toxicity.features("i will kill you", tagger)[1] > 0 and toxicity.features("kill the lights", tagger)[0] == 0
+    features = toxicity.Clauses(grammar).features
+    plain, at_you, later, negated, quoted, claimed = map(features, ("what an idiot", "you are an idiot", "an idiot you are", "you are not an idiot", 'he said "you idiot"', "he said you are an idiot"))
+    assert plain[0] > 0 and plain[1] == 0 and at_you[1] > 0 and later == at_you
+    assert negated[0] == 0 and negated[2] > 0 and quoted[0] == claimed[0] == 0 and quoted[2] > 0
+    assert features("i will kill you")[1] > 0 and features("kill the lights")[0] == 0
+    assert features("snarling")[0] > 0 and features("snarl")[0] == 0
+    assert features("not so very far away an idiot")[0] > 0 and features("") == (0.0,) * 4
+
+
+def signs_by_rule(signs):
+    """(asserted, aimed, excused) matches of a clause, by the rules as written out."""
+    target, left, state, out = "T" in signs, 0, "none", [0, 0, 0]
+    for s in signs:
+        negated = left > 0
+        left = 3 if s == "N" else max(0, left - (s != "Q"))
+        excused = negated or state in ("quote", "claim")
+        if s == "R" and state != "quote":
+            state = "said"
+        elif s == "Q":
+            state = {"said": "quote", "claim": "quote", "quote": "said"}.get(state, state)
+        elif s == "T" and state == "said":
+            state = "claim"
+        elif s == "I" or s == "H" and target:
+            out[2] += excused
+            out[0] += not excused
+            out[1] += not excused and target
+    return tuple(out)
+
+
+def test_composed_transducer():
+    """Every clause of up to five signs, against the rules without transducers."""
+    clauses = toxicity.Clauses(toxicity.Grammar({}, {}, 5, (0.0,) * 5))
+    for n in range(1, 6):
+        for signs in itertools.product("IHTNRQ-", repeat=n):
+            assert clauses.weights([(s, 1.0) for s in signs]) == signs_by_rule(signs), signs
+
+
+def test_toxicity_held_out(spark):
+    """Precision and recall on held-out rows, where texts of the language hold marks at all: invented English prose with planted insults."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    got = toxicity.score(docs.where("lang = 'en'"), toxicity.learn(docs, labels), keep=["doc_id"]).join(labels, "doc_id").where(toxicity.held_out(labels.doc_id))
+    rows = got.groupBy("toxic", "predicted").count().collect()
+    n = {(r.toxic, r.predicted): r["count"] for r in rows}
+    assert n[1, 1] >= 0.85 * (n[1, 1] + n.get((1, 0), 0)) and n[1, 1] >= 0.95 * (n[1, 1] + n.get((0, 1), 0))
+
+
+def test_toxicity_without_labels(spark, docs):
+    labels = spark.createDataFrame([(1, None), (None, 1)], "doc_id long, toxic int")
+    grammar = toxicity.learn(docs, labels)
+    assert grammar.layer == toxicity.UNTAUGHT and set(grammar.words) == set(toxicity.INSULTS)
+    rows = spark.createDataFrame([(1, "you idiot, you stupid clown", 3)], "doc_id long, text string, predicted int")
+    assert [r.predicted for r in toxicity.score(rows, grammar).collect()] == [1]
 
 
 def turns_of(text):
