@@ -62,9 +62,23 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def small(df: DataFrame, most: int) -> DataFrame:
-    """A broadcast hint, only if the counted rows stay within ``most``; beyond, Spark shuffles the join."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+#: Bytes that a broadcast table may have, by the width of its columns.
+SMALL_BYTES = 32 << 20
+
+
+def width(df: DataFrame) -> int:
+    """Bytes of a row, roughly: 8 a number, 48 a string, 64 anything else, and 16 for the row."""
+    kinds = {"bigint": 8, "int": 8, "double": 8, "boolean": 8, "string": 48}
+    return 16 + sum(kinds.get(kind, 64) for _, kind in df.dtypes)
+
+
+def small(df: DataFrame, most: int, ready: bool = False) -> DataFrame:
+    """A broadcast hint, only if the counted rows stay within ``most`` and ``SMALL_BYTES``; beyond, Spark shuffles the join.
+
+    The rows are made once: they are cut from their lineage first, unless they are ``ready``.
+    """
+    df = df if ready else cut(df)
+    return F.broadcast(df) if df.count() <= min(most, SMALL_BYTES // width(df)) else df
 
 
 def hashed_sample(df: DataFrame, key: Column, most: int) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrow import with_columns
-from .common import cut, small, written
+from .common import cut, fresh, small, spread_join, written
 from .components import components
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -125,7 +125,7 @@ def set_id(h: np.ndarray) -> int:
 
 
 def signed_sets(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """doc_id, n_shingles, set_id (null for the empty set), signatures (none where the task has had an equal set before), spare_0, spare_1."""
+    """doc_id, key, n_shingles, set_id (null for the empty set), signatures (none where the task has had an equal set before), spare_0, spare_1."""
     fields = [T.StructField("n_shingles", T.LongType()), T.StructField("set_id", T.LongType()), T.StructField("signatures", T.ArrayType(T.LongType())), T.StructField("spare_0", T.IntegerType()), T.StructField("spare_1", T.IntegerType())]
 
     def make():
@@ -145,7 +145,7 @@ def signed_sets(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
 
         return lambda texts: list(zip(*map(one, texts), strict=True))
 
-    return with_columns(docs, "text", fields, make, ["doc_id"])
+    return with_columns(docs, "text", fields, make, ["doc_id", "key"])
 
 
 def bucket_members(signed: DataFrame) -> DataFrame:
@@ -205,7 +205,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
 
         return lambda texts: list(zip(*map(one, texts), strict=True))
 
-    rows = with_columns(docs.select("doc_id", "text").join(small(wanted, 500_000), "doc_id"), "text", fields, make, ["set_id"])
+    rows = with_columns(docs.select("doc_id", "text").join(small(wanted, 500_000, ready=True), "doc_id"), "text", fields, make, ["set_id"])
     return rows.where("found = set_id").drop("found").dropDuplicates(["set_id"])
 
 
@@ -294,19 +294,17 @@ def rest_of_buckets(members: DataFrame, labels: DataFrame, sets: DataFrame, num:
     return cells.groupBy("bucket", "i", "j").applyInPandas(meet, "a long, b long")
 
 
-def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id for every document: the smallest doc_id that links reach, itself included.
+def classes(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """doc_id, key (hash of the text), n_shingles, set_id, component_id, component_key for every document; see ``join``.
 
-    Documents link when their sets of distinct ``n``-word shingles share num/den of their union or more. Texts of fewer words
-    are one shingle; null and wordless texts are empty and link with nothing. Copies (equal sets) link by their equal set hash
-    and enter the join once. Rows without doc_id link with nothing and have no component. Repeated rows stay. Exact up to collisions
-    of 64-bit hashes.
+    component_id and component_key belong to the document of smallest doc_id, then key, that links reach.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text")
     signed = written(signed_sets(docs, n, num, den))
-    sets = cut(signed.where("set_id is not null and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.max("spare_0").alias("spare_0"), F.max("spare_1").alias("spare_1")))
-    members = written(rarest(written(bucket_members(signed.where("doc_id is not null"))), sets.drop("doc_id")))
-    wanted = cut(members.select("set_id").distinct().join(sets.select("set_id", "doc_id"), "set_id"))
+    grouped = signed.where("set_id is not null and doc_id is not null").groupBy("set_id")
+    sets = cut(grouped.agg(F.min(F.struct("doc_id", "key")).alias("first"), F.max("spare_0").alias("spare_0"), F.max("spare_1").alias("spare_1"), F.count("*").alias("n_docs")))
+    members = written(rarest(written(bucket_members(signed.where("doc_id is not null"))), sets.select("set_id", "spare_0", "spare_1")))
+    wanted = cut(members.select("set_id").distinct().join(sets.select("set_id", "first.doc_id"), "set_id"))
     hashes = written(shingle_sets(docs, wanted, n))
     pairs = members.where("set_id != first").select(F.col("first").alias("a"), F.col("set_id").alias("b")).distinct()
     links = cut(linked(pairs, hashes, num, den))
@@ -314,26 +312,44 @@ def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFram
     more = cut(rest_of_buckets(members, labels, hashes, num, den))
     if more.limit(1).count():
         labels = components(labels.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
-    named = sets.select("set_id", "doc_id").join(labels.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
-    smallest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    classes = named.join(smallest, "root").select("set_id", "component_id")
-    rows = signed.select("doc_id", "n_shingles", "set_id")
-    full = rows.where("set_id is not null and doc_id is not null").join(classes, "set_id", "left")
-    alone = rows.where("set_id is null or doc_id is null").withColumn("component_id", F.when(F.col("set_id").isNull(), F.col("doc_id")))
-    return full.select("doc_id", "n_shingles", "component_id").unionByName(alone.select("doc_id", "n_shingles", "component_id"))
+    named = sets.select("set_id", "first", "n_docs").join(labels.withColumnRenamed("node", "set_id"), "set_id", "left")
+    named = cut(named.withColumn("root", F.coalesce("root", "set_id")))
+    smallest = named.groupBy("root").agg(F.min("first").alias("first"), F.count("*").alias("_n"))
+    facts = spread_join(named.select("set_id", "n_docs", "root"), smallest, "root", "_n", named.count())
+    facts = cut(facts.select("set_id", "n_docs", F.col("first.doc_id").alias("component_id"), F.col("first.key").alias("component_key")))
+    rows = signed.select("doc_id", "key", "n_shingles", "set_id")
+    full = spread_join(rows.where("set_id is not null and doc_id is not null"), facts, "set_id", "n_docs", signed.count())
+    alone = rows.where("set_id is null or doc_id is null").withColumns({"component_id": F.when(F.col("set_id").isNull(), F.col("doc_id")), "component_key": F.col("key")})
+    return full.unionByName(alone)
+
+
+def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """doc_id, n_shingles, component_id for every document: the smallest doc_id that links reach, itself included.
+
+    Documents link when their sets of distinct ``n``-word shingles share num/den of their union or more. Texts of fewer words
+    are one shingle; null and wordless texts are empty and link with nothing. Copies (equal sets) link by their equal set hash
+    and enter the join once. Rows without doc_id link with nothing and have no component. Repeated rows stay. An empty table
+    gives an empty result; columns other than doc_id and text are ignored. Exact up to collisions of 64-bit hashes.
+    """
+    return classes(docs, n, num, den).select("doc_id", "n_shingles", "component_id")
 
 
 def keep_one(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The rows of ``docs`` without near duplicates: of each group of linked documents the one of smallest doc_id stays.
 
-    A doc_id that stands in several rows stays once. Rows without doc_id, and wordless ones, are in no group and stay.
+    Where that doc_id has several linked texts, the one of smallest text hash stays; texts of a doc_id that aren't linked are judged
+    apart. A row repeated in doc_id and text stays once. Rows without doc_id, and wordless ones, are in no group and stay, an empty
+    table stays empty, and all columns are returned as they are, whatever their names.
     """
-    found = cut(join(docs, n, num, den).where("doc_id is not null"))
-    gone = found.where("component_id != doc_id").select("doc_id").distinct()
-    rows = docs.join(small(gone, 500_000), "doc_id", "left_anti").select(docs.columns)
-    again = cut(found.groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    found = cut(classes(docs, n, num, den).where("doc_id is not null and set_id is not null"))
+    own = i, k = fresh(docs, "_id", "_key")
+    stays = (F.col("component_id") == F.col("doc_id")) & (F.col("component_key") == F.col("key"))
+    named = lambda df: df.select(F.col("doc_id").alias(i), F.col("key").alias(k))
+    gone = small(named(found.where(~stays)).distinct(), 500_000)
+    again = cut(named(found.where(stays).groupBy("doc_id", "key").count().where("count > 1")))
+    rows = docs.withColumns({i: F.col("doc_id").cast("long"), k: F.xxhash64("text")}).join(gone, own, "left_anti")
     if not again.limit(1).count():
-        return rows
-    again = small(again, 500_000)
-    once = rows.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return rows.join(again, "doc_id", "left_anti").unionByName(once).select(docs.columns)
+        return rows.select(docs.columns)
+    again = small(again, 500_000, ready=True)
+    once = rows.join(again, own, "left_semi").dropDuplicates(own)
+    return rows.join(again, own, "left_anti").unionByName(once).select(docs.columns)
