@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, running, small, words
+from .common import cut, fresh, running, small, words
 
 
 def bit_reversal(value: Column, bits: int) -> Column:
@@ -70,9 +70,9 @@ def schedule(aims: DataFrame, block_words: int, chunk: int = 1 << 16) -> DataFra
 
 
 def mix(docs: DataFrame, block_words: int = 1024, times: int = 3, seed: int = 11, placed: DataFrame | None = None) -> DataFrame:
-    """slot, doc_id, source_key, start, first_word, n_words: the mix, as stretches of documents in the order of the slots.
+    """slot, doc_id, source_key, start, reading, first_word, n_words: the mix, as stretches of documents in the order of the slots.
 
-    A source's shuffled documents form one stream of words, read again from the start up to ``times`` times; block ``rank`` is its
+    ``reading`` is 0 for the first time that a document is read. A source's shuffled documents form one stream of words, read again from the start up to ``times`` times; block ``rank`` is its
     words from rank * block_words on, and the last block ends at the target. Only joins by (source, block) are made, so a
     source that holds most rows spreads over all tasks. Documents without words are in no block.
     """
@@ -84,25 +84,37 @@ def mix(docs: DataFrame, block_words: int = 1024, times: int = 3, seed: int = 11
     width = F.lit(block_words).cast("long")
     pieces = turns.withColumn("rank", F.explode(F.sequence(F.floor(F.col("_a") / width), F.floor((F.col("_z") - 1) / width))))
     low, high = F.greatest("_a", F.col("rank") * width), F.least("_z", (F.col("rank") + 1) * width)
-    pieces = pieces.select("source_key", "rank", "doc_id", "start", "size", (low - F.col("_a")).alias("first_word"), (high - low).alias("n_words"))
-    return slots.join(pieces, ["source_key", "rank"]).select("slot", "doc_id", "source_key", "start", "size", "first_word", "n_words")
+    pieces = pieces.select("source_key", "rank", "doc_id", "start", "size", F.col("_e").alias("reading"), (low - F.col("_a")).alias("first_word"), (high - low).alias("n_words"))
+    return slots.join(pieces, ["source_key", "rank"]).select("slot", "doc_id", "source_key", "start", "size", "reading", "first_word", "n_words")
 
 
 def taken(docs: DataFrame, block_words: int = 1024, times: int = 3, seed: int = 11) -> DataFrame:
-    """doc_id, size, source_size, target, taken: how many of its words the mix takes, repeats counted."""
+    """doc_id, key, size, source_size, target, taken, first_slot, slots, source: how many of a document's words the mix takes, repeats
+    counted, the first slot that holds some of them, and that of each reading; null where there is none.
+
+    Null sources are a source; null and wordless texts have size 0 and are never taken. An empty table gives an empty result.
+    """
     placed = cut(streams(docs, seed))
-    sums = mix(docs, block_words, times, seed, placed).groupBy("source_key", "start").agg(F.sum("n_words").alias("taken"))
+    parts = mix(docs, block_words, times, seed, placed).groupBy("source_key", "start")
+    slot = lambda e: F.min(F.when(F.col("reading") == e, F.col("slot")))
+    sums = parts.agg(F.sum("n_words").alias("taken"), F.min("slot").alias("first_slot"), F.array(*[slot(e) for e in range(times)]).alias("slots"))
     full = placed.where("size > 0").join(sums, ["source_key", "start"], "left")
-    rows = full.unionByName(placed.where("size = 0").withColumn("taken", F.lit(0).cast("long")))
-    return rows.select("doc_id", "key", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"), F.when(F.col("source_key") != "~", F.substring("source_key", 2, 1 << 30)).alias("source"))
+    rows = full.unionByName(placed.where("size = 0"), allowMissingColumns=True)
+    return rows.select("doc_id", "key", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"), "first_slot", "slots", F.when(F.col("source_key") != "~", F.substring("source_key", 2, 1 << 30)).alias("source"))
 
 
 def apply_mix(docs: DataFrame, block_words: int = 1024, times: int = 3, seed: int = 11) -> DataFrame:
-    """The rows of ``docs`` as the mix takes them: whole documents, as often as it reads them, begun readings counted.
+    """The rows of ``docs`` as the mix takes them, in the order of its slots: whole documents, as often as it reads them, begun readings
+    counted.
 
     A document that the mix doesn't reach, or without words, goes; none stands more than ``times`` times. Repeated rows share
-    what they are taken together.
+    what they are taken together. Rows are laid out by ranges of slots and sorted within, so a prefix of the result is a prefix of
+    the mix. All columns are returned as they are, whatever their names; an empty table stays empty.
     """
-    sums = taken(docs, block_words, times, seed).groupBy("key").agg(F.ceil(F.sum("taken") / F.greatest(F.sum("size"), F.lit(1))).cast("int").alias("_copies")).where("_copies > 0")
-    rows = docs.withColumn("_key", F.xxhash64("doc_id", "text")).join(small(sums.withColumnRenamed("key", "_key"), 500_000), "_key")
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(docs.columns)
+    key, copies, slots, slot = fresh(docs, "_key", "_copies", "_slots", "_slot")
+    by_key = taken(docs, block_words, times, seed).groupBy(F.col("key").alias(key))
+    sums = by_key.agg(F.ceil(F.sum("taken") / F.greatest(F.sum("size"), F.lit(1))).cast("int").alias(copies), F.array(*[F.min(F.get("slots", F.lit(e))) for e in range(times)]).alias(slots)).where(F.col(copies) > 0)
+    rows = docs.withColumn(key, F.xxhash64("doc_id", "text")).join(small(sums, 200_000), key)
+    chosen = F.transform(F.sequence(F.lit(0), F.col(copies) - 1), lambda e: F.coalesce(F.get(F.col(slots), e), F.get(F.col(slots), F.lit(0))))
+    rows = rows.withColumn(slot, F.explode(chosen))
+    return rows.repartitionByRange(F.col(slot)).sortWithinPartitions(slot).select(docs.columns)

@@ -20,7 +20,7 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.taken(table(spark, sf_dir, "documents")).drop("key")
+    return mixing.taken(table(spark, sf_dir, "documents")).drop("key", "slots")
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,8 +87,13 @@ r as (select *, source_size * 3 as cap, row_number() over (order by source_size
 l as (select *, (sum(source_size) over () - coalesce(sum(cap) over (order by n rows between unbounded preceding and 1 preceding), 0))::double / (sum(w) over () - coalesce(sum(w) over (order by n rows between unbounded preceding and 1 preceding), 0))::double as level from r),
 v as (select coalesce(arg_min(level, n), 0) as level from l where level * w <= cap),
 t as (select l.key, l.source_size, least(cap::double, v.level * w) as target from l, v),
-p as (select b.doc_id, b.size, t.source_size, t.target, b.source, xx, sum(size) over (partition by b.key order by b.h rows unbounded preceding) - size as start from (select *, 1 as xx from b) b join t on t.key = b.key)
-select doc_id, size, source_size, target, source, (select sum(greatest(0, least(e * source_size + start + size, floor(target)) - (e * source_size + start)))::bigint from (values (0), (1), (2)) x(e)) as taken from p""",
+p as (select b.key, b.doc_id, b.size, t.source_size, t.target, b.source, xx, sum(size) over (partition by b.key order by b.h rows unbounded preceding) - size as start from (select *, 1 as xx from b) b join t on t.key = b.key)
+n as (select key, target, ceil(floor(target) / 1024)::bigint as n from t),
+f as (select key, n, sum(n) over (order by key) - n as a, sum(n) over () as total from n where n > 0),
+g as (select key, unnest(range(a::bigint, (a + n)::bigint)) as v, case when total > 1 then ceil(log2(total))::int else 0 end as bits from f),
+h as (select key, coalesce(list_sum(list_transform(range(bits), lambda b: ((v >> b) % 2) << (bits - 1 - b))), 0)::bigint as slot from g),
+k as (select key, slot, row_number() over (partition by key order by slot) - 1 as rank from h)
+select doc_id, size, source_size, target, source, (select slot from k where k.key = p.key and k.rank = p.start // 1024 and p.size > 0 and p.start < floor(p.target)) as first_slot, (select sum(greatest(0, least(e * source_size + start + size, floor(target)) - (e * source_size + start)))::bigint from (values (0), (1), (2)) x(e)) as taken from p""",
     "op5_exact_top_k": """
 with v as materialized (select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as v from embeddings where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
 s as (select q.vec_id as query_id, c.vec_id, list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i]))::bigint as score from v q join v c on q.vec_id % 100 = 0 and c.vec_id <> q.vec_id)
