@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrow import chunks, with_columns
-from .common import hashed_sample
+from .common import fresh, hashed_sample, small
 
 # Closed-class words of the grammar, in English, German, French and Spanish, and insults known from the start.
 TARGETS = ["you", "your", "yours", "yourself", "u", "ya", "du", "dich", "dir", "dein", "deine", "euch", "ihr", "euer", "tu", "toi", "te", "ton", "ta", "vous", "votre", "vos", "usted", "ustedes", "tú", "ti", "vosotros"]
@@ -303,3 +303,20 @@ def score(docs: DataFrame, grammar: Grammar, text: str = "text", keep: list[str]
         return work
 
     return with_columns(docs, text, fields, make, keep)
+
+
+def clean(docs: DataFrame, grammar: Grammar, labels: DataFrame | None = None) -> DataFrame:
+    """The rows of ``docs`` that score under 0.5 and, with ``labels`` (doc_id, toxic), that no label calls toxic; all columns as they are."""
+    marked, label = fresh(docs, "_toxic", "_label")
+    rows = docs
+    if labels is not None:
+        known = labels.where("toxic = 1 and doc_id is not null").select(F.col("doc_id").alias(label)).distinct()
+        rows = docs.join(small(known, 500_000), docs["doc_id"] == F.col(label), "left_anti")
+    sent = docs.sparkSession.sparkContext.broadcast(grammar)
+
+    def make():
+        clauses = Clauses(sent.value)
+        w = sent.value.layer
+        return lambda texts: [[w[0] + sum(a * b for a, b in zip(w[1:], clauses.features(x), strict=True)) >= 0 for x in texts]]
+
+    return with_columns(rows, "text", [T.StructField(marked, T.BooleanType())], make).where(~F.col(marked)).select(docs.columns)

@@ -284,6 +284,27 @@ def test_mixing(docs, rows, empty):
     assert mixing.taken(empty).count() == 0
     mixed = mixing.apply_mix(docs)
     assert mixed.columns == docs.columns and mixed.count() > 0
+    clash = docs.select("doc_id", "text", "source").selectExpr("*", "1 as _key", "2 as _copies", "3 as _slot")
+    assert mixing.apply_mix(clash).columns == clash.columns and mixing.apply_mix(clash).count() == mixed.count() and mixing.apply_mix(empty).count() == 0
+
+
+def test_mixing_slots(spark):
+    """Slots follow the schedule, and the mix is laid out in their order: any prefix of it is near the weights."""
+    rnd = random.Random(14)
+    rows = [(i, prose(rnd, rnd.randint(20, 60)), "abc"[min(2, i % 5)]) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    got = mixing.taken(docs, block_words=64).collect()
+    for r in got:
+        assert (r.first_slot is None) == (r.taken == 0) and (r.first_slot is None or r.first_slot == min(x for x in r.slots if x is not None))
+    mixed = mixing.apply_mix(docs, block_words=64).collect()
+    share = {r.source: r.target for r in got}
+    whole = sum(share.values())
+    for end in (len(mixed) // 4, len(mixed) // 2, len(mixed)):
+        words = collections.Counter()
+        for r in mixed[:end]:
+            words[r.source] += len(r.text.split())
+        for name, target in share.items():
+            assert abs(words[name] / sum(words.values()) - target / whole) < 0.06
 
 
 def test_mixing_schedule_is_even(spark):
@@ -346,6 +367,25 @@ def test_top_k(spark):
     assert topk.top_k(df.where("vec_id = 100")).count() == 0
 
 
+def test_top_k_eliminates(spark):
+    """On vectors in neighbourhoods, most candidates are never scored, and the answer is exact; also for repeats and short vectors."""
+    rnd = np.random.default_rng(9)
+    centres = rnd.normal(size=(40, 16)) * 4
+    vectors = centres[rnd.integers(40, size=6000)] + rnd.normal(size=(6000, 16)) * 0.05
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors.astype(np.float32))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(5)
+    got = topk.top_k(df, block_rows=200, query_rows=16, work=True).collect()
+    q = np.floor(1024 * vectors.astype(np.float32).astype(float)).astype(np.int64)
+    for i in range(0, 6000, 100):
+        want = sorted(((-int(s), j) for j, s in enumerate(q @ q[i]) if j != i))[:10]
+        assert [(r["rank"], r.vec_id, r.score) for r in sorted((r for r in got if r.query_id == i), key=lambda r: r["rank"])] == [(n + 1, j, -s) for n, (s, j) in enumerate(want)]
+    evaluated = {r.query_id: r.evaluated for r in got}
+    assert sum(evaluated.values()) < 0.35 * 5999 * len(evaluated)
+    odd = [(0, [1.0, 2.0]), (0, [1.0, 2.0]), (1, [3.0]), (1, [3.0]), (2, []), (3, [0.5, 0.5, 0.5])]
+    odd = topk.top_k(spark.createDataFrame(odd, "vec_id long, embedding array<float>")).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in odd) == [(0, 1, 1, 3 * 1024 * 1024), (0, 2, 1, 3 * 1024 * 1024), (0, 3, 3, 3072 * 512), (0, 4, 2, 0)]
+
+
 def test_toxicity(spark, docs, empty):
     rnd = random.Random(8)
     rows, labels = [], []
@@ -468,6 +508,26 @@ def test_quality(docs, rows, empty):
     assert quality.report(empty).count() == 0 and quality.apply_rules(empty).count() == 0
 
 
+def test_cascade_order(spark):
+    """The rule that rejects much for little work comes first, whatever the written order; rules that reject nothing come last."""
+    texts = [" ".join(f"w{i}x{k}" for k in range(12)) for i in range(40)] + [" ".join(f"v{i}x{k}" for k in range(900)) for i in range(10)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    order = quality.plan_cascade(docs, ["repeats", "word_length", "short"])
+    assert order[0] == "short" and set(order) == {"repeats", "word_length", "short"}
+    assert quality.plan_cascade(docs.limit(0)) == list(quality.rules(quality.measures(docs.text, docs.text)))
+    marked = docs.selectExpr("*", "'own' as rejected_by")
+    assert quality.kept(marked).select("rejected_by").distinct().collect()[0].rejected_by == "own" and quality.kept(marked).count() == 10
+
+
+def test_chat_of_long_conversations(spark):
+    turns = [(c, t, "assistant" if t % 2 else "user", ("word " * 4000 if t == 7 else f"turn {t}") + ("!" if c == 1 and t >= 500 else "")) for c in (0, 1) for t in range(900)]
+    row = chat.format_pairs(chat.pair_neighbours(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))).first()
+    assert (row.n_common, row.n_chosen, row.n_rejected) == (500, 900, 900) and row.prompt == turns_of([(r, t) for c, n, r, t in turns if c == 0 and n < 500])
+    whole = row.prompt + row.rejected
+    spans = [tuple(map(int, x.split("-"))) for x in row.rejected_mask.split(";")]
+    assert [whole[a:b] for a, b in spans] == [f"turn {n}!<|end|>" for n in range(501, 900, 2)]
+
+
 def test_language_model(spark, docs, rows, empty):
     got = lm.score(docs.select("doc_id", "text", "n_tokens"), kept_words=50).collect()
     assert len(got) == len(rows)
@@ -483,13 +543,27 @@ def test_language_model(spark, docs, rows, empty):
     assert lm.score(empty).count() == 0
 
 
+def test_language_model_keeps_odd_ids_apart(spark):
+    rows = [(None, "one two three four"), (-1, "one two three four"), (0, "one two three four"), (5, "one two three four")]
+    got = lm.score(spark.createDataFrame(rows, "doc_id long, text string"), kept_words=0).collect()
+    assert all(r.n_tokens == 5 and r.n_known in (0, 5) for r in got) and len(got) == 4
+    assert len({(r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in got}) == 1
+
+
+def test_language_model_is_the_same_in_any_layout(spark, docs):
+    """What a word draws depends on the word alone, so tasks, file splits and the kept table don't matter."""
+    base = docs.select("doc_id", "text")
+    rows = [sorted(((repr(r.doc_id), r.n_tokens, r.n_known, round(r.score, 2)) for r in lm.score(x, kept_words=k).collect()), key=repr) for x, k in ((base, 50), (base.repartition(11), 5000))]
+    assert rows[0] == rows[1]
+
+
 def test_language_model_adds_up_to_one():
-    model = lm.Model(3, (0.5, 0.5), 0.5)
+    model = lm.Model(3, (0.4, 0.5), 0.5)
     customers = np.array([7.0, 2.0])
     word, owner = np.arange(3), np.array([0, 0, 1, 2])
     context, n = np.array([0, 1, 0, 1]), np.array([4, 1, 3, 1])
     model.history.append(lm.Totals(customers, customers * 0.5, 3.0))
-    tables, above, parent = model.sweep(word, context, n, owner, None, 0, np.random.default_rng(1))
+    tables, above, parent = model.sweep(word, context, n, owner, None, 0)
     totals = lm.Totals(customers, np.bincount(context, tables, 2), float(parent.sum()))
     base = model.parent(above, parent, totals)
     for g in range(2):
@@ -499,28 +573,78 @@ def test_language_model_adds_up_to_one():
         assert abs(known + unknown - 1) < 1e-9
 
 
-def test_seating_follows_the_restaurant():
-    """Mean tables of the sampler against customers seated one by one."""
-    rnd = np.random.default_rng(7)
-    for n, a, d in ((50, 2.0, 0.5), (400, 5.0, 0.3)):
-        fast = lm.open_tables(np.full(4000, n), np.full(4000, a), d, rnd).mean()
-        slow = []
-        for _ in range(400):
-            t = 1
-            for s in range(1, n):
-                t += rnd.random() < a / (s - d * t + a)
-            slow.append(t)
-        assert abs(fast - np.mean(slow)) < 0.08 * np.mean(slow)
-
-
-def test_large_groups_are_seated_one_by_one():
+@pytest.mark.parametrize(("n", "a", "d"), [(50, 2.0, 0.5), (64, 5.0, 0.3), (65, 5.0, 0.3), (4000, 60.0, 0.6)])
+def test_seating_follows_the_restaurant(n, a, d):
+    """Mean tables of small and large groups against customers seated one by one."""
     rnd = np.random.default_rng(8)
-    n, a, d = 4000, 60.0, 0.6
     t = np.ones(3000)
     for s in range(1, n):
         t += rnd.random(3000) < a / (s - d * t + a)
-    fast = lm.open_tables(np.full(3000, n), np.full(3000, a), d, rnd)
-    assert abs(fast.mean() - t.mean()) < 0.005 * t.mean()
+    keys = lm.mixed(np.arange(3000, dtype=np.uint64))
+    fast = lm.open_tables(np.full(3000, n), np.full(3000, a), d, keys)
+    assert abs(fast.mean() - t.mean()) < 4 * (t.std() + fast.std()) / math.sqrt(3000)
+    assert abs(fast.std() - t.std()) < 0.1 * t.std() + 0.05
+    assert (lm.open_tables(np.full(3000, n), np.full(3000, a), d, keys)[::-1] == lm.open_tables(np.full(3000, n), np.full(3000, a), d, keys[::-1])).all()
+
+
+def chinese_restaurants(pairs, vocabulary, places, discounts, rounds):
+    """Predictive probabilities by brute force: every customer stands up and sits down again, by word, context and table."""
+    rnd, (d0, d1) = random.Random(6), discounts
+    seats, parent = collections.defaultdict(list), collections.defaultdict(list)  # customers at each table
+
+    def above(w):
+        ts, customers = parent[w], sum(sum(x) for x in parent.values())
+        return (sum(ts) - d0 * len(ts) + (1 + d0 * sum(map(len, parent.values()))) * 0.5 / vocabulary) / (customers + 1)
+
+    def sit(tables, d, new):
+        odds = [c - d for c in tables] + [new]
+        at = rnd.choices(range(len(odds)), odds)[0]
+        if at < len(tables):
+            tables[at] += 1
+            return False
+        tables.append(1)
+        return True
+
+    def leave(tables):
+        at = rnd.choices(range(len(tables)), tables)[0]
+        tables[at] -= 1
+        if not tables[at]:
+            tables.pop(at)
+            return True
+        return False
+
+    mean = collections.Counter()
+    for turn in range(rounds):
+        for w, c in pairs:
+            if turn and leave(seats[w, c]):
+                leave(parent[w])
+            opened = sum(len(x) for (_, k), x in seats.items() if k == c)
+            if sit(seats[w, c], d1, (1 + d1 * opened) * above(w)):
+                sit(parent[w], d0, (1 + d0 * sum(map(len, parent.values()))) * 0.5 / vocabulary)
+        if turn >= rounds // 3:
+            for w in range(vocabulary):
+                for c in range(places):
+                    x, opened, customers = seats[w, c], sum(len(x) for (_, k), x in seats.items() if k == c), sum(k == c for _, k in pairs)
+                    mean[w, c] += (sum(x) - d1 * len(x) + (1 + d1 * opened) * above(w)) / (customers + 1) / (rounds - rounds // 3)
+    return mean
+
+
+def test_sweeps_against_brute_force(spark):
+    """The parallel sweeps on a tiny corpus give the probabilities of a sampler that reseats one customer at a time."""
+    rnd = random.Random(12)
+    pairs = [(min(int(rnd.expovariate(0.5)), 5), rnd.randrange(3)) for _ in range(120)]
+    c = collections.Counter(pairs)
+    rows = [(w, [(k, c[w, k]) for k in range(3) if c[w, k]], sum(c[w, k] for k in range(3))) for w in sorted({w for w, _ in pairs})]
+    model, table = lm.fit(spark.createDataFrame(rows, "word long, seats array<struct<context:int,n:long>>, n long"), 3, 4, 12)
+    want = chinese_restaurants(pairs, len(rows), 3, model.discounts, 240)
+    factors = lm.back_off(model, 3, 12)
+    worst = 0
+    for r in table.collect():
+        p = factors @ np.array(r.above)
+        for k, v in zip(r.context, r.seen, strict=True):
+            p[k] += v
+        worst = max(worst, *(abs(math.log10(p[k] / want[r.word, k])) for k in range(3) if c[r.word, k]))
+    assert worst < 0.06
 
 
 def test_sweeps_before_samples():
