@@ -137,20 +137,64 @@ def review(facts: DataFrame) -> DataFrame:
 
 
 def decide(trials: DataFrame, tolerance: float = 13.0) -> DataFrame:
-    """By design: the best fill by match (the earlier name on a tie) against reduce; a fill is chosen within ``tolerance`` of it."""
-    fills = trials.where("name != 'reduce'").groupBy("design").agg(F.max_by(F.struct("name", "match"), F.struct("match", F.reverse("name"), "name")).alias("f"))
+    """By design: the chosen method, the best fill's match (the earlier name on a tie) against reduce's, the margin and the reason.
+
+    A fill is chosen if its match is at most ``tolerance`` under reduce's, or if there is no reduce to hold it against.
+    """
+    fills = trials.where("name != 'reduce'").groupBy("design").agg(F.min(F.struct((-F.col("match")).alias("less"), "name", "match")).alias("f"))
     base = trials.where("name = 'reduce'").groupBy("design").agg(F.max("match").alias("reduce"))
-    out = fills.join(base, "design", "full")
-    margin = even(F.col("f.match") - F.col("reduce"), 1)
-    reason = F.when(F.col("f").isNull(), "no_fill").when(F.col("reduce").isNull(), "no_reduce").when(margin >= -tolerance, "close_enough").otherwise("too_far")
-    return out.select("design", F.round("f.match", 4).alias("fill_match"), F.round("reduce", 4).alias("reduce_match"), margin.alias("margin"), reason.alias("reason"))
+    out = fills.join(base, "design", "full").withColumn("margin", even(F.col("f.match") - F.col("reduce"), 1))
+    reason = F.when(F.col("f").isNull(), "no_fill").when(F.col("reduce").isNull(), "no_reduce").when(F.col("margin") >= -tolerance, "fill_close").otherwise("fill_far")
+    out = out.withColumn("reason", reason)
+    chosen = F.when(F.col("reason").isin("no_fill", "fill_far"), "reduce").otherwise(F.col("f.name"))
+    return out.select("design", chosen.alias("chosen"), F.round("f.match", 4).alias("fill_match"), F.round("reduce", 4).alias("reduce_match"), "margin", "reason")
 
 
-def attach_verdicts(runs: DataFrame, feedback: DataFrame) -> DataFrame:
-    """Each feedback with the latest run of its name at its time or before: an equi-join by name, then the maximum below the time."""
-    pairs = feedback.join(runs.select("name", F.col("run_id"), F.col("time").alias("run_time")), "name").where("run_time <= time")
-    best = pairs.groupBy("feedback_id", "name", "time").agg(F.max(F.struct("run_time", "run_id")).alias("r"))
-    return best.select("feedback_id", "name", F.col("r.run_id").alias("run_id"), F.col("r.run_time").alias("run_time"))
+def attach_verdicts(runs: DataFrame, feedback: DataFrame, days: int = 30) -> DataFrame:
+    """Each feedback with the run that its run_id names, else the latest run of its name at its time or before.
+
+    Both sides are put in one order by name and time, and the last run so far is carried on: sorting, not pairing. A busy name is cut
+    into blocks of ``days`` days; the last run before each block comes from one row a block.
+    """
+    named = "run_id" in feedback.columns
+    moment = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    block = F.floor(F.col("_at") / F.lit(days * 86_400_000_000))
+    r = runs.select("name", moment("time").alias("_at"), F.struct(F.col("time").alias("run_time"), "run_id").alias("_run")).withColumn("_b", block)
+    asked = feedback.where("run_id is null").drop("run_id") if named else feedback
+    f = asked.select("feedback_id", "name", moment("time").alias("_at")).withColumn("_b", block)
+    lines = r.withColumn("feedback_id", F.lit(None).cast(dict(f.dtypes)["feedback_id"])).unionByName(f, allowMissingColumns=True)
+    order = Window.partitionBy("name", "_b").orderBy("_at", F.col("feedback_id").isNotNull(), F.col("_run.run_id"))
+    inside = F.last("_run", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    found = lines.withColumn("_r", inside).where("feedback_id is not null").select("feedback_id", "name", "_b", "_r")
+    ends = r.groupBy("name", "_b").agg(F.max("_run").alias("_end")).withColumn("_next", F.lead("_b").over(Window.partitionBy("name").orderBy("_b")))
+    open_ = found.where("_r is null").select("feedback_id", "name", "_b")
+    heads = ends.select("name", F.col("_b").alias("_from"), F.coalesce("_next", F.lit(1 << 40)).alias("_to"), "_end")
+    earlier = open_.join(heads, "name").where("_from < _b and _b <= _to").groupBy("feedback_id", "name").agg(F.max("_end").alias("_r"))
+    latest = found.where("_r is not null").select("feedback_id", "name", "_r").unionByName(earlier)
+    out = latest.select("feedback_id", "name", "_r.run_id", "_r.run_time")
+    if not named:
+        return out
+    own = feedback.where("run_id is not null").select("feedback_id", "run_id").join(runs.select("run_id", "name", F.col("time").alias("run_time")), "run_id")
+    return out.unionByName(own.select("feedback_id", "name", "run_id", "run_time"))
+
+
+def library(jobs: DataFrame, repeats: DataFrame, query: str = "", parts: int = 4096) -> DataFrame:
+    """Approved jobs whose client or design holds ``query``, with how many repeat orders each has had, ranked newest approval first.
+
+    ``jobs``: as of ``job_state``, whose latest approval counts. Ranks are made in ranges of approval times: each range is ranked by itself,
+    and the counts of the ranges before it are added, so no task ranks all rows.
+    """
+    text = F.lower(F.concat_ws(" ", "client", "design"))
+    kept = jobs.where(F.col("stage") == "approved").where(F.contains(text, F.lit(query.lower())) if query else F.lit(True))
+    orders = repeats.groupBy("job_id").agg(F.count("*").alias("repeats"))
+    kept = kept.join(orders, "job_id", "left").withColumn("repeats", F.coalesce("repeats", F.lit(0)))
+    low, high = kept.agg(F.min(F.unix_micros(F.col("stage_time").cast("timestamp"))), F.max(F.unix_micros(F.col("stage_time").cast("timestamp")))).first()
+    step = max(1, ((high or 0) - (low or 0)) // parts + 1)
+    kept = kept.withColumn("_part", F.floor((F.unix_micros(F.col("stage_time").cast("timestamp")) - F.lit(low or 0)) / F.lit(step)))
+    counts = kept.groupBy("_part").count()
+    before = counts.withColumn("_before", F.coalesce(F.sum("count").over(Window.orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # at most ``parts`` rows
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(F.desc("stage_time"), "job_id"))
+    return kept.withColumn("_in", inside).join(F.broadcast(before.drop("count")), "_part").withColumn("rank", (F.col("_before") + F.col("_in")).cast("int")).drop("_part", "_in", "_before")
 
 
 def add_repeats(orders: DataFrame) -> DataFrame:
@@ -185,9 +229,14 @@ def top_per_group(rows: DataFrame, group: str, order: list[Column], n: int) -> D
 
 
 def similar_runs(asked: DataFrame, log: DataFrame, features: list[str], k: int = 3) -> DataFrame:
-    """The k nearest past runs of each asked run, every feature scaled by its spread in the log. ``asked`` is a stated, bounded set and broadcast."""
+    """The k nearest past runs of each asked run, every feature scaled by its spread in the log.
+
+    ``asked`` is a stated set of queries held against the whole log; it is broadcast up to 100,000 counted rows, and beyond that Spark
+    pairs the blocks of both sides.
+    """
     spread = log.agg(*[F.stddev_pop(c).alias(f"s_{c}") for c in features])
-    sides = F.broadcast(asked.select(F.col("run_id").alias("asked_id"), *[F.col(c).alias(f"a_{c}") for c in features]))
+    sides = asked.select(F.col("run_id").alias("asked_id"), *[F.col(c).alias(f"a_{c}") for c in features])
+    sides = F.broadcast(sides) if sides.count() <= 100_000 else sides
     pairs = log.crossJoin(sides).where("run_id != asked_id").crossJoin(F.broadcast(spread))
     terms = [F.pow((F.col(c) - F.col(f"a_{c}")) / F.when(F.col(f"s_{c}") > 0, F.col(f"s_{c}")).otherwise(1.0), 2.0) for c in features]
     pairs = pairs.withColumn("distance", F.round(F.sqrt(sum(terms, F.lit(0.0))), 6))

@@ -6,12 +6,16 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import colour, layers
+from ..functions import print_rules as rules
+from ..operators import detail as D
 from ..operators import methods as M
 from ..operators import palette as P
+from ..operators import raster as R
+from ..operators import screens as S
 from . import fixtures as X
 from .ledgers import TRIALS
-from .palettes import COUNTS, NEAREST, REF, TOP_LAB, ref_labels, top_inks
-from .rasters import C_, R_
+from .palettes import COUNTS, NEAREST, REF, TOP, TOP_LAB, ref_labels, top_inks
+from .rasters import C_, R_, RUNS
 from .registry import query
 
 LUM = colour.luminance()
@@ -44,18 +48,17 @@ def _(spark, d):
     return X.pixels(spark, d).groupBy("d").agg(F.round(100 * F.avg((F.col("cp") != 32).cast("double")), 4).alias("ink_pct"), F.round(100 * F.avg(flat), 4).alias("stray_pct"), F.round(F.percentile("r", F.lit(0.99)), 3).alias("p99"))
 
 
-@query("a23_pure_share", f"select d, ink, sum(n)::bigint as pixels, round(sum(case when sqrt(d2) <= 25 then n else 0 end) / sum(n), 4) as pure from (select *, {colour.squared('', 'p')} as d2 from {NEAREST} q) z group by 1, 2")
+@query("a23_pure_share", f"select d, ink, sum(n)::bigint as pixels, round(sum(case when sqrt(d2) <= 5 then n else 0 end) / sum(n), 4) as pure from (select *, {colour.squared('', 'p')} as d2 from {NEAREST} q) z group by 1, 2")
 def _(spark, d):
     t = P.nearest_ink(P.colour_counts(X.pixels(spark, d)), X.palette(spark)).withColumn("d2", F.expr(colour.squared("", "p")))
-    return t.groupBy("d", "ink").agg(F.sum("n").alias("pixels"), F.round(F.sum(F.when(F.sqrt("d2") <= 25, F.col("n")).otherwise(0)) / F.sum("n"), 4).alias("pure"))
+    return t.groupBy("d", "ink").agg(F.sum("n").alias("pixels"), F.round(F.sum(F.when(F.sqrt("d2") <= 5, F.col("n")).otherwise(0)) / F.sum("n"), 4).alias("pure"))
 
 
 @query("a11_ink_colours", f"""
 with k as (select *, lag(ink) over {R_} = ink and lead(ink) over {R_} = ink and lag(ink) over {C_} = ink and lead(ink) over {C_} = ink as inner_ from (select d, x, y, r, {X.INK} as ink from {X.PIXELS} p) q)
 select d, ink, count(*) as n, round(coalesce(avg(case when inner_ then r end), avg(r)), 3) as r from k where ink >= 0 group by 1, 2""")
 def _(spark, d):
-    near = "lag(ink) over (partition by d, y order by x) = ink and lead(ink) over (partition by d, y order by x) = ink and lag(ink) over (partition by d, x order by y) = ink and lead(ink) over (partition by d, x order by y) = ink"
-    t = X.pixels(spark, d).selectExpr("d", "x", "y", "r", f"{X.INK} as ink").repartition("d").selectExpr("*", f"{near} as inside").where("ink >= 0")
+    t = R.neighbours(X.pixels(spark, d).selectExpr("d", "x", "y", "r", f"{X.INK} as ink")).withColumn("inside", F.expr("n = ink and s = ink and w = ink and e = ink")).where("ink >= 0")
     return t.groupBy("d", "ink").agg(F.count("*").alias("n"), F.round(F.coalesce(F.avg(F.when(F.col("inside"), F.col("r"))), F.avg("r")), 3).alias("r"))
 
 
@@ -110,17 +113,29 @@ def _(spark, d):
     return t.groupBy("d").agg(F.sum(F.expr("cp / 256e0 > v - floor(v)").cast("long")).alias("dots"))
 
 
-@query("p13_mesh_and_grams", "select l_suppkey as job, l_returnflag as plate, case l_returnflag when 'A' then 55 when 'N' then 77 else 120 end as mesh, round(sum(l_quantity / 100 * 0.45 * case l_returnflag when 'A' then 60 when 'N' then 35 else 20 end), 3) as grams from lineitem group by 1, 2")
+PLATES = {"A": "underbase", "N": "spot", "R": "tonal"}
+
+
+@query("p13_mesh_and_grams", """
+select job, line, plate, case plate when 'underbase' then '110-156' when 'spot' then '156-230' else case when lpi <= 45 then '200-230' when lpi <= 55 then '230-280' else '305-355' end end as mesh,
+  round_even(w / 300::double * 0.0254 * (h / 300::double * 0.0254) * greatest(0, least(1, cover)) * case plate when 'underbase' then 50 when 'spot' then 30 else 18 end * 100 * 10, 0) / 10 as grams
+from (select l_orderkey as job, l_linenumber as line, case l_returnflag when 'A' then 'underbase' when 'N' then 'spot' else 'tonal' end as plate, 35 + l_linenumber * 5 as lpi, (l_quantity * 200)::int as w, (l_suppkey % 50 + 1) * 200 as h, l_discount * 12 as cover from lineitem) z""")
 def _(spark, d):
-    rates = F.broadcast(spark.createDataFrame([("A", 55, 60.0), ("N", 77, 35.0), ("R", 120, 20.0)], "plate string, mesh int, rate double"))
-    return X.named(spark, d, "lineitem").withColumn("plate", F.col("l_returnflag")).join(rates, "plate").groupBy(F.col("l_suppkey").alias("job"), "plate", "mesh").agg(F.round(F.sum(F.col("l_quantity") / 100 * 0.45 * F.col("rate")), 3).alias("grams"))
+    plate = F.element_at(F.create_map(*[F.lit(x) for pair in PLATES.items() for x in pair]), F.col("l_returnflag"))
+    t = X.named(spark, d, "lineitem").select(F.col("l_orderkey").alias("job"), F.col("l_linenumber").alias("line"), plate.alias("plate"), F.expr("35 + l_linenumber * 5").alias("lpi"), F.expr("cast(round(l_quantity * 200) as int)").alias("w"), F.expr("(l_suppkey % 50 + 1) * 200").alias("h"), F.expr("l_discount * 12").alias("cover"))
+    return t.select("job", "line", "plate", rules.mesh(F.col("plate"), F.col("lpi")).alias("mesh"), rules.ink_grams(F.col("w"), F.col("h"), F.lit(300), F.col("cover"), F.col("plate")).alias("grams"))
+
+
+GAPS = " union all ".join(f"select a.d, '{n}' as side, sqrt(power((a.r - z.r) / 255::double, 2) + power((a.g - z.g) / 255::double, 2) + power((a.b - z.b) / 255::double, 2)) / sqrt(3::double) as g from p a join p z on a.d = z.d and a.{across} = z.{across} and a.{along} = 0 and z.{along} = z.{far} and z.{far} > 0" for n, along, across, far in (("h", "x", "y", "w"), ("v", "y", "x", "hh")))
 
 
 @query("n19_seam_metrics", f"""
-select a.d, round(avg(abs(a.r - z.r)), 4) as mean, max(abs(a.r - z.r)) as worst, round(quantile_cont(abs(a.r - z.r), 0.95), 4) as p95, avg(abs(a.r - z.r)) <= 60 as pass from (select * from {X.PIXELS} p where x = 0) a join (select * from {X.PIXELS} q where x = 63) z on a.d = z.d and a.y = z.y group by 1""")
+with p as materialized (select *, max(x) over (partition by d) as w, max(y) over (partition by d) as hh from {X.PIXELS} q), g as ({GAPS}), a as (select d, side, avg(g) as mean, quantile_cont(g, 0.95) as p95, max(g) as top from g group by 1, 2),
+t as (select d.d, {', '.join(f"coalesce(max(case when side = '{n}' then {c} end), 0) as {n}_{c}" for n in 'hv' for c in ('mean', 'p95', 'top'))} from (select distinct d from p) d left join a on a.d = d.d group by 1)
+select d, {', '.join(f'round({n}_{c}, 4) as {n}_{c}' for n in 'hv' for c in ('mean', 'p95', 'top'))}, round(greatest(h_mean, v_mean, h_p95 / 2, v_p95 / 2), 4) as score,
+  h_mean < 0.035 and v_mean < 0.035 and h_p95 < 0.08 and v_p95 < 0.08 and h_top < 0.15 and v_top < 0.15 as seamless from t""")
 def _(spark, d):
-    t = X.pixels(spark, d).where("x in (0, 63)").groupBy("d", "y").agg(F.max(F.when(F.col("x") == 0, F.col("r"))).alias("a"), F.max(F.when(F.col("x") == 63, F.col("r"))).alias("z")).where("z is not null").withColumn("g", F.abs(F.col("a") - F.col("z")))
-    return t.groupBy("d").agg(F.round(F.avg("g"), 4).alias("mean"), F.max("g").alias("worst"), F.round(F.percentile("g", F.lit(0.95)), 4).alias("p95"), (F.avg("g") <= 60).alias("pass"))
+    return D.seam_metrics(X.pixels(spark, d))
 
 
 @query("n24_alignment_score", f"""
@@ -149,11 +164,20 @@ def _(spark, d):
     return M.blend_inks(P.with_lab(top_inks(spark, d)))
 
 
-@query("k28_colourways", f"select w, ink, place from (select w, ink, row_number() over (partition by w order by ll desc, ink) as place from {layers.sql('(select w, ink, (pr + w * 40) % 256 as r, (pg + w * 70) % 256 as g, (pb + w * 90) % 256 as b from ' + X.PALETTE_SQL + ' p, (select unnest(range(1, 9)) as w) q)', colour.lab())} z) y")
+#: Colourways of a design: its inks as they are, and the same with the channels changed about.
+WAYS = [(0, "r", "g", "b"), (1, "g", "b", "r"), (2, "b", "r", "g"), (3, "(255 - r)", "(255 - g)", "(255 - b)")]
+WAY_SQL = " union all ".join(f"select d, {w} as way, ink, n, {p} as r, {q} as g, {s} as b from (select *, {', '.join(f'{e} as {c}' for c, e in colour.unpacked('rgb').items())} from {TOP} tp) t" for w, p, q, s in WAYS)
+
+
+@query("k28_colourways", f"""
+with w as materialized (select * from {layers.sql('(' + WAY_SQL + ')', colour.lab())} z), p as (select d, way, ink, row_number() over (partition by d, way order by ll desc, ink) as place from w),
+s as (select d, way, count(*) as similar from {layers.sql('(select a.d, a.way, a.ll as lli, a.aa as aai, a.bb as bbi, b.ll as llj, b.aa as aaj, b.bb as bbj from w a join w b on a.d = b.d and a.way = b.way and a.ink < b.ink)', colour.de2000('i', 'j'))} q where de < 5 group by 1, 2)
+select p.d, p.way, p.ink, p.place, coalesce(s.similar, 0) as similar from p left join s on s.d = p.d and s.way = p.way""")
 def _(spark, d):
-    ways = X.palette(spark).crossJoin(F.broadcast(spark.range(1, 9).toDF("w")))
-    t = layers.add(ways.selectExpr("w", "ink", "(pr + w * 40) % 256 as r", "(pg + w * 70) % 256 as g", "(pb + w * 90) % 256 as b"), colour.lab())
-    return t.select("w", "ink", F.row_number().over(Window.partitionBy("w").orderBy(F.desc("ll"), "ink")).alias("place"))
+    """Colourways over each design's own inks: the press order of each, and how many pairs of inks look alike in it."""
+    inks = top_inks(spark, d).selectExpr("*", *[f"{e} as {c}" for c, e in colour.unpacked("rgb").items()])
+    ways = F.explode(F.array(*[F.struct(F.lit(w).alias("way"), *[F.expr(e).cast("int").alias(c) for c, e in zip("rgb", es, strict=True)]) for w, *es in WAYS])).alias("w")
+    return S.colourways(inks.select("d", "ink", "r", "g", "b", ways).select("d", "w.way", "ink", "w.r", "w.g", "w.b"))
 
 
 NAME_ROWS = [(n, *(int(h[i : i + 2], 16) for i in (1, 3, 5))) for n, (h, _) in M.COLOURS.items()]
@@ -180,7 +204,9 @@ def _(spark, d):
     return M.score_methods(counts, 6)
 
 
-@query("u4_regions_of_rows", "select doc_id as d, unnest(range(0, length(text) // 4096 + 1)) as part from documents where length(text) > 0")
+@query("u4_regions_of_rows", f"select d, ink, count(*) as boxes, max(x1 - x0 + 1) as widest from {RUNS} r group by 1, 2")
 def _(spark, d):
-    t = X.named(spark, d, "documents").where("length(text) > 0")
-    return t.select(F.col("doc_id").alias("d"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.length("text") / 4096))).alias("part"))
+    """One design gives many boxes: each ink's runs, unpacked from one array a design and row."""
+    rows = R.runs(X.labels(spark, d)).groupBy("d", "y").agg(F.collect_list(F.struct("ink", "x0", "x1")).alias("boxes"))  # at most one run a pixel of the row
+    boxes = rows.select("d", F.explode("boxes").alias("b")).select("d", "b.*")
+    return boxes.groupBy("d", "ink").agg(F.count("*").alias("boxes"), F.max(F.expr("x1 - x0 + 1")).alias("widest"))

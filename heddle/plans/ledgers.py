@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import print_rules as rules
 from ..operators import ledger as L
 from . import fixtures as X
 from .registry import query
@@ -165,9 +166,10 @@ TRIALS = "(select o_custkey as design, case when o_orderpriority = '1-URGENT' th
 
 
 @query("l13_fill_judge", f"""
-with f as (select design, max(match) as match from {TRIALS} q where name <> 'reduce' group by 1), b as (select design, max(match) as match from {TRIALS} q where name = 'reduce' group by 1)
-select coalesce(f.design, b.design) as design, round(f.match, 4) as fill_match, round(b.match, 4) as reduce_match, (round_even((f.match - b.match) * 10, 0) / 10) as margin,
-  case when f.match is null then 'no_fill' when b.match is null then 'no_reduce' when (round_even((f.match - b.match) * 10, 0) / 10) >= -13 then 'close_enough' else 'too_far' end as reason from f full join b on f.design = b.design""")
+with f as (select design, max(match) as match, arg_min(name, (-match, name)) as name from {TRIALS} q where name <> 'reduce' group by 1), b as (select design, max(match) as match from {TRIALS} q where name = 'reduce' group by 1),
+j as (select coalesce(f.design, b.design) as design, f.name, f.match as fm, b.match as bm, round_even((f.match - b.match) * 10, 0) / 10 as margin from f full join b on f.design = b.design)
+select design, case when fm is null or margin < -13 then 'reduce' else name end as chosen, round(fm, 4) as fill_match, round(bm, 4) as reduce_match, margin,
+  case when fm is null then 'no_fill' when bm is null then 'no_reduce' when margin >= -13 then 'fill_close' else 'fill_far' end as reason from j""")
 def _(spark, d):
     t = X.named(spark, d, "orders").selectExpr("o_custkey as design", "case when o_orderpriority = '1-URGENT' then 'reduce' else o_orderpriority end as name", "round(o_totalprice % 100, 2) as match")
     return L.decide(t)
@@ -183,12 +185,11 @@ def _(spark, d):
 
 
 @query("l14_library", f"""
-select job_id, seq, client, rank from (select job_id, seq, trim(client) as client, row_number() over (order by stage_time desc, job_id) as rank from {ALL_STATE} q where stage = 'approved' and contains(lower(client), 'client 1')) z""")
+with r as (select job_id, count(*) as repeats from {EVENTS} q where event = 'repeat' group by 1)
+select s.job_id, seq, trim(client) as client, coalesce(repeats, 0) as repeats, row_number() over (order by stage_time desc, s.job_id) as rank from {ALL_STATE} s left join r on r.job_id = s.job_id where stage = 'approved' and contains(lower(client), 'client 1')""")
 def _(spark, d):
-    kept = L.job_state(events(spark, d)).where("stage = 'approved' and contains(lower(client), 'client 1')")
-    from pyspark.sql import Window
-
-    return kept.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("stage_time"), "job_id"))).select("job_id", "seq", F.trim("client").alias("client"), "rank")
+    t = events(spark, d)
+    return L.library(L.job_state(t), t.where("event = 'repeat'"), "client 1").select("job_id", "seq", F.trim("client").alias("client"), "repeats", "rank")
 
 
 ORDERS = f"(select job_id as entry, case when seq % 7 = 0 then '' else 't' || (seq % 3) end as token, seq, meters from {EVENTS} q where event = 'repeat')"
@@ -234,11 +235,11 @@ def _(spark, d):
 
 
 @query("l21_batch_summary", """
-select l_returnflag as folder, case when l_quantity < 10 then 'STOP' when l_discount > 0.08 then 'CHECK' else 'OK' end as result, count(*) as n, round(sum(l_quantity * 2.5), 1) as grams from lineitem group by 1, 2""")
+select folder, result, count(*) as n, round(sum(grams), 1) as grams from (select l_returnflag as folder, l_quantity * 2.5 as grams, case when l_linenumber % 3 = 0 then 'OK' when l_linenumber % 3 = 1 and l_quantity > 25 then 'STOP' else 'CHECK' end as result from lineitem) z group by 1, 2""")
 def _(spark, d):
-    t = X.named(spark, d, "lineitem")
-    result = F.when(F.col("l_quantity") < 10, "STOP").when(F.col("l_discount") > 0.08, "CHECK").otherwise("OK")
-    return t.groupBy(F.col("l_returnflag").alias("folder"), result.alias("result")).agg(F.count("*").alias("n"), F.round(F.sum(F.col("l_quantity") * 2.5), 1).alias("grams"))
+    log = F.when(F.col("l_quantity") > 25, "reading\nSTOP too narrow").otherwise("reading, no STOP")
+    result = rules.batch_result(F.col("l_linenumber") % 3, F.when(F.col("l_linenumber") % 3 == 1, log))
+    return X.named(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("folder"), result.alias("result")).agg(F.count("*").alias("n"), F.round(F.sum(F.col("l_quantity") * 2.5), 1).alias("grams"))
 
 
 @query("l24_swap_palette", f"select job, hex, round(sum(coverage), 3) as coverage, min(name) as name, count(*) as inks from {INKS} q group by 1, 2")
@@ -267,11 +268,9 @@ def _(spark, d):
     return L.similar_runs(f.where("run_id % 10 = 0"), f, list(FEATURES))
 
 
-BANDS = [("poor", -1.0, 15.0), ("fair", 15.0, 30.0), ("good", 30.0, 42.0), ("excellent", 42.0, 1000.0)]
-
-
-@query("j14_verdict_bands", "select l_orderkey as job, l_linenumber as line, l_quantity as value, b.band from lineitem join (values " + ", ".join(f"('{n}', {lo}, {hi})" for n, lo, hi in BANDS) + ") b(band, lo, hi) on l_quantity >= lo and l_quantity < hi")
+@query("j14_verdict_bands", """
+select l_orderkey as job, l_linenumber as line, case when l_discount * 10 >= 0.85 then 'good' when l_discount * 10 >= 0.55 then 'low' else 'very low' end as alignment,
+  case when l_quantity * 2 >= 90 then 'good' when l_quantity * 2 >= 85 then 'near' else 'loose' end as match from lineitem""")
 def _(spark, d):
-    bands = F.broadcast(spark.createDataFrame(BANDS, "band string, lo double, hi double"))  # four rows
     t = X.named(spark, d, "lineitem")
-    return t.join(bands, (F.col("l_quantity") >= F.col("lo")) & (F.col("l_quantity") < F.col("hi"))).select(F.col("l_orderkey").alias("job"), F.col("l_linenumber").alias("line"), F.col("l_quantity").alias("value"), "band")
+    return t.select(F.col("l_orderkey").alias("job"), F.col("l_linenumber").alias("line"), rules.band(F.col("l_discount") * 10, rules.ALIGNMENT_BANDS).alias("alignment"), rules.band(F.col("l_quantity") * 2, rules.MATCH_BANDS).alias("match"))

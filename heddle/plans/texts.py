@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import print_rules as R
 from ..functions import text as T
 from . import fixtures as X
 from .registry import query
@@ -18,14 +19,14 @@ select inks, width_in, meters, dots, count(*) as n from (select case when kind <
   case when kind = 0 then l_quantity::int * 1000::double when kind = 1 then l_quantity::int * 1000 + 500::double end as meters, case when kind = 1 then false when kind = 2 then true when kind = 3 then false end as dots from {KIND} q) z group by 1, 2, 3, 4""")
 def _(spark, d):
     t = X.named(spark, d, "lineitem").selectExpr(f"{REQUEST} as t")
-    return t.select(*[c.alias(n) for n, c in T.parse_request(F.col("t")).items()]).groupBy("inks", "width_in", "meters", "dots").agg(F.count("*").alias("n"))
+    return t.select(T.parse_request(F.col("t")).alias("r")).select("r.*").groupBy("inks", "width_in", "meters", "dots").agg(F.count("*").alias("n"))
 
 
 @query("f2_settings_from_name", f"select k::int as name_inks, case when k between 1 and 20 then k::int end as inks, (l_linenumber * 5)::double as width_in, count(*) as n from {KIND} q group by 1, 2, 3")
 def _(spark, d):
     t = X.named(spark, d, "lineitem").selectExpr("cast(l_suppkey % 25 as int) as name_inks", "'in/rose_' || cast(l_linenumber * 5 as string) || 'in_' || cast(l_suppkey % 25 as string) || 'inks.png' as f")
-    p = T.parse_request(T.settings_text(F.col("f")))
-    return t.select("name_inks", p["inks"].alias("inks"), p["width_in"].alias("width_in")).groupBy("name_inks", "inks", "width_in").agg(F.count("*").alias("n"))
+    t = t.select("name_inks", T.parse_request(T.settings_text(F.col("f"))).alias("r"))
+    return t.select("name_inks", "r.inks", "r.width_in").groupBy("name_inks", "inks", "width_in").agg(F.count("*").alias("n"))
 
 
 @query("f3_lookup_colour", """
@@ -81,17 +82,19 @@ def _(spark, d):
 
 
 @query("p11_print_geometry", """
-select p_partkey, w, h, w / 2540.0 * 100 as width_in, round(w / 300::double, 4) as at_300, round(w / 300::double * 25.4, 3) as mm, w * h > 70000000 as refused, round(w / (10 + p_size)::double, 2) as ppi
-from (select *, (p_retailprice * 10)::bigint as w, p_size * 200 as h from part) z""".replace("w / 2540.0 * 100 as width_in, ", ""))
+select p_partkey, w, h, round(w / 300::double, 4) as at_300, round(w / 300::double * 25.4, 3) as mm, w * h > 70000000 as refused, round(w / (10 + p_size)::double, 2) as ppi
+from (select *, (p_retailprice * 10)::bigint as w, p_size * 200 as h from part) z""")
 def _(spark, d):
     t = X.named(spark, d, "part").selectExpr("*", "cast(round(p_retailprice * 10) as bigint) as w", "p_size * 200 as h")
     return t.selectExpr("p_partkey", "w", "h", "round(w / 300e0, 4) as at_300", "round(w / 300e0 * 25.4e0, 3) as mm", "w * h > 70000000 as refused", "round(w / cast(10 + p_size as double), 2) as ppi")
 
 
 @query("p12_dot_rules", """
-select l_orderkey as job, l_linenumber as line, l_quantity / 100 as mm, floor(pi() / 4 * power(l_quantity / 100 * 300 / 25.4, 2))::bigint as area, case when l_quantity < 15 then 'too fine' when l_quantity < 30 then 'fine' else 'shows' end as verdict from lineitem""")
+select l_orderkey as job, l_linenumber as line, l_quantity / 100 as mm, floor(pi() / 4 * power(l_quantity / 100 * 300 / 25.4, 2))::bigint as area, greatest(1, round_even(l_suppkey * 10 / l_quantity, 0))::bigint as pixels,
+  case when l_quantity / 100 < 0.12 then 'too fine for most mesh' when l_quantity / 100 > 0.45 then 'pattern will show' else 'ok' end as verdict from lineitem""")
 def _(spark, d):
-    return X.named(spark, d, "lineitem").selectExpr("l_orderkey as job", "l_linenumber as line", "l_quantity / 100 as mm", "cast(floor(pi() / 4 * power(l_quantity / 100 * 300 / 25.4e0, 2)) as bigint) as area", "case when l_quantity < 15 then 'too fine' when l_quantity < 30 then 'fine' else 'shows' end as verdict")
+    mm = F.col("l_quantity") / 100
+    return X.named(spark, d, "lineitem").select(F.col("l_orderkey").alias("job"), F.col("l_linenumber").alias("line"), mm.alias("mm"), R.dot_area(mm, F.lit(300)).alias("area"), R.dot_pixels(F.col("l_quantity"), F.col("l_suppkey") * 10).alias("pixels"), R.dot_verdict(mm).alias("verdict"))
 
 
 BAYER = "(0,0,0),(1,0,8),(2,0,2),(3,0,10),(0,1,12),(1,1,4),(2,1,14),(3,1,6),(0,2,3),(1,2,11),(2,2,1),(3,2,9),(0,3,15),(1,3,7),(2,3,13),(3,3,5)"
@@ -106,7 +109,8 @@ def _(spark, d):
 
 
 @query("p18_strategy", """
-select l_suppkey as design, round(avg(l_discount), 4) as gradient, count(distinct l_partkey) as colours, case when avg(l_discount) < 0.049 then 'spot' when count(distinct l_partkey) > 550 then 'halftone' else 'hybrid' end as strategy from lineitem group by 1""")
+select l_suppkey as design, round(avg(l_discount * 2 * (l_suppkey % 3) / 2), 4) as gradient, (l_suppkey % 9 + 1)::int as inks, case when avg(l_discount * 2 * (l_suppkey % 3) / 2) < 0.08 then 'spot' when l_suppkey % 9 + 1 >= 4 then 'hybrid' else 'halftone' end as strategy from lineitem group by l_suppkey""")
 def _(spark, d):
-    t = X.named(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("design")).agg(F.avg("l_discount").alias("g"), F.count_distinct("l_partkey").alias("colours"))
-    return t.select("design", F.round("g", 4).alias("gradient"), "colours", F.when(F.col("g") < 0.049, "spot").when(F.col("colours") > 550, "halftone").otherwise("hybrid").alias("strategy"))
+    t = X.named(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("design")).agg(F.avg(F.expr("l_discount * 2 * (l_suppkey % 3) / 2")).alias("g"))
+    inks = (F.col("design") % 9 + 1).cast("int")
+    return t.select("design", F.round("g", 4).alias("gradient"), inks.alias("inks"), R.recommend(F.col("g"), inks).alias("strategy"))
