@@ -27,6 +27,14 @@ def nearest_ink(counts: DataFrame, palette: DataFrame) -> DataFrame:
     return best.select("d", "rgb", "n", "m.*")
 
 
+def nearest_own(counts: DataFrame, palettes: DataFrame) -> DataFrame:
+    """Each distinct colour's nearest ink of its own design, by squared Lab distance, the lowest ink on a tie. A palette is a few inks."""
+    inks = layers.add(palettes, colour.lab("p", "pr", "pg", "pb")).select("d", "ink", "pr", "pg", "pb", "llp", "aap", "bbp")
+    pairs = with_lab(counts).join(inks, "d").withColumn("d2", F.expr(colour.squared("", "p")))
+    best = pairs.groupBy("d", "rgb", "n").agg(F.min_by(F.struct("ink", "pr", "pg", "pb", "ll", "aa", "bb", "llp", "aap", "bbp"), F.struct("d2", "ink")).alias("m"))
+    return best.select("d", "rgb", "n", "m.*")
+
+
 def coverage_and_match(pixels: DataFrame, palette: DataFrame) -> DataFrame:
     """By design and ink: pixels, coverage %, mean CIEDE2000 and match of 100 * (1 - mean / 25), ranked by pixels.
 

@@ -1,7 +1,8 @@
-"""Neighbourhood jobs on rasters: windows along rows, then along columns, after one repartition by design.
+"""Neighbourhood jobs on rasters: windows along rows, then along columns, inside bands of rows.
 
-Hashing by design satisfies both window orders, so a pass of row and column frames shuffles once. A missing neighbour (beyond
-an edge, or the end of a short last row) is null.
+A design is cut into bands of ``BAND`` rows, and each band gets the few rows beyond its edges that a pass looks at, marked as not
+its own. So a pass shuffles once, row and column frames both reuse that layout, and a design of any height spreads over many
+tasks. A missing neighbour (beyond an edge, or the end of a short last row) is null.
 """
 
 from __future__ import annotations
@@ -10,21 +11,40 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 AROUND = ("nw", "n", "ne", "w", "e", "sw", "s", "se")
+#: Rows in a band.
+BAND = 256
+
+
+def banded(raster: DataFrame, halo: int, rows: int | None = None) -> DataFrame:
+    """``raster`` in bands, with _band and _own; rows within ``halo`` of a band's edge are copied into the next band as not its own."""
+    rows = max(rows or BAND, halo + 1)
+    band = lambda y: F.floor(y / F.lit(rows)).cast("int")
+    own = band(F.col("y"))
+    bands = F.when(band(F.col("y") - halo) != own, F.array(own - 1, own)).when(band(F.col("y") + halo) != own, F.array(own, own + 1)).otherwise(F.array(own))
+    both = F.when((band(F.col("y") - halo) != own) & (band(F.col("y") + halo) != own), F.array(own - 1, own, own + 1)).otherwise(bands)
+    return raster.withColumn("_band", F.explode(both)).withColumn("_own", F.col("_band") == band(F.col("y"))).repartition("d", "_band")
 
 
 def row() -> WindowSpec:
-    return Window.partitionBy("d", "y").orderBy("x")
+    """Along a row of a banded raster."""
+    return Window.partitionBy("d", "_band", "y").orderBy("x")
 
 
 def column() -> WindowSpec:
-    return Window.partitionBy("d", "x").orderBy("y")
+    """Along a column of a banded raster."""
+    return Window.partitionBy("d", "_band", "x").orderBy("y")
+
+
+def line() -> WindowSpec:
+    """Along a row of a raster that isn't banded: for jobs that look along rows only."""
+    return Window.partitionBy("d", "y").orderBy("x")
 
 
 def neighbours(raster: DataFrame, value: str = "ink") -> DataFrame:
     """``raster`` with the eight neighbours of ``value`` in columns nw, n, ne, w, e, sw, s, se."""
-    rows = raster.repartition("d").withColumn("w", F.lag(value).over(row())).withColumn("e", F.lead(value).over(row()))
-    line = F.struct(F.col("w").alias("w"), F.col(value).alias("v"), F.col("e").alias("e"))
-    both = rows.withColumn("_u", F.lag(line).over(column())).withColumn("_l", F.lead(line).over(column()))
+    rows = banded(raster, 1).withColumn("w", F.lag(value).over(row())).withColumn("e", F.lead(value).over(row()))
+    middle = F.struct(F.col("w").alias("w"), F.col(value).alias("v"), F.col("e").alias("e"))
+    both = rows.withColumn("_u", F.lag(middle).over(column())).withColumn("_l", F.lead(middle).over(column())).where("_own")
     names = {"nw": "_u.w", "n": "_u.v", "ne": "_u.e", "sw": "_l.w", "s": "_l.v", "se": "_l.e"}
     return both.select(*raster.columns, "w", "e", *[F.col(c).alias(n) for n, c in names.items()])
 
@@ -47,14 +67,14 @@ def dense(labels: DataFrame, ink: int, least: int = 2) -> DataFrame:
 
 def contacts(labels: DataFrame) -> DataFrame:
     """Lengths of the borders between inks, a < b, over right and lower neighbours."""
-    rows = labels.repartition("d").withColumn("_r", F.lead("ink").over(row())).withColumn("_d", F.lead("ink").over(column()))
-    pairs = rows.select("d", "ink", F.explode(F.array("_r", "_d")).alias("other")).where("ink >= 0 and other >= 0 and ink != other")
+    rows = banded(labels, 1).withColumn("_r", F.lead("ink").over(row())).withColumn("_d", F.lead("ink").over(column()))
+    pairs = rows.where("_own").select("d", "ink", F.explode(F.array("_r", "_d")).alias("other")).where("ink >= 0 and other >= 0 and ink != other")
     return pairs.groupBy("d", F.least("ink", "other").alias("a"), F.greatest("ink", "other").alias("b")).agg(F.count("*").alias("n"))
 
 
 def edge_share(labels: DataFrame) -> DataFrame:
     """% of pixels that differ from their left or upper neighbour."""
-    rows = labels.repartition("d").withColumn("_l", F.lag("ink").over(row())).withColumn("_u", F.lag("ink").over(column()))
+    rows = banded(labels, 1).withColumn("_l", F.lag("ink").over(row())).withColumn("_u", F.lag("ink").over(column())).where("_own")
     step = F.coalesce(F.col("ink") != F.col("_l"), F.lit(False)) | F.coalesce(F.col("ink") != F.col("_u"), F.lit(False))
     return rows.groupBy("d").agg(F.round(100 * F.avg(step.cast("double")), 4).alias("edge_share"))
 
@@ -73,48 +93,96 @@ def median_filter(pixels: DataFrame, channel: str = "r") -> DataFrame:
     return cells.select("d", "x", "y", channel, F.get("_c", ((F.size("_c") - 1) / 2).cast("int")).alias("median"))
 
 
+def square(pixels: DataFrame, r: int, first: dict[str, Column], then: dict[str, Column], keep: list[str] | None = None) -> DataFrame:
+    """Windows over the (2 r + 1) square: ``first`` along rows, then ``then`` along columns, over the columns that ``first`` made."""
+    across, down = row().rowsBetween(-r, r), column().rowsBetween(-r, r)
+    rows = banded(pixels, r).withColumns({n: c.over(across) for n, c in first.items()})
+    rows = rows.withColumns({f"_{n}": c.over(down) for n, c in then.items()}).where("_own")
+    return rows.select("d", "x", "y", *(keep or []), *[F.col(f"_{n}").alias(n) for n in then])
+
+
 def local_range(pixels: DataFrame, channel: str = "r", r: int = 2) -> DataFrame:
     """Maximum minus minimum over the (2 r + 1) square, rows first, then columns."""
-    rows = pixels.select("d", "x", "y", channel).repartition("d").withColumn("_a", F.max(channel).over(row().rowsBetween(-r, r))).withColumn("_z", F.min(channel).over(row().rowsBetween(-r, r)))
-    return rows.select("d", "x", "y", (F.max("_a").over(column().rowsBetween(-r, r)) - F.min("_z").over(column().rowsBetween(-r, r))).alias("range"))
+    ends = square(pixels.select("d", "x", "y", channel), r, {"_a": F.max(channel), "_z": F.min(channel)}, {"a": F.max("_a"), "z": F.min("_z")})
+    return ends.select("d", "x", "y", (F.col("a") - F.col("z")).alias("range"))
 
 
 def box_blur(pixels: DataFrame, channel: str = "r", r: int = 1) -> DataFrame:
     """Mean over the (2 r + 1) square, rows first, then columns."""
-    rows = pixels.select("d", "x", "y", channel).repartition("d").withColumn("_a", F.avg(channel).over(row().rowsBetween(-r, r)))
-    return rows.select("d", "x", "y", F.avg("_a").over(column().rowsBetween(-r, r)).alias("blur"))
+    return square(pixels.select("d", "x", "y", channel), r, {"_a": F.avg(channel)}, {"blur": F.avg("_a")})
 
 
-def gradient(pixels: DataFrame, channel: str = "r") -> DataFrame:
-    """Central differences in both directions (0 at the edges) and their length."""
-    half = lambda w: F.coalesce((F.lead(channel).over(w) - F.lag(channel).over(w)) * 0.5, F.lit(0.0))
-    rows = pixels.select("d", "x", "y", channel).repartition("d").withColumn("_x", half(row())).withColumn("_y", half(column()))
-    return rows.select("d", "x", "y", F.sqrt(F.col("_x") * F.col("_x") + F.col("_y") * F.col("_y")).alias("gradient"))
+def gradient(pixels: DataFrame, channels: tuple[str, ...] = ("r",)) -> DataFrame:
+    """Central differences in both directions (0 at the edges) and their length over all ``channels``."""
+    half = lambda c, w: F.coalesce((F.lead(c).over(w) - F.lag(c).over(w)) * 0.5, F.lit(0.0))
+    rows = banded(pixels.select("d", "x", "y", *channels), 1)
+    rows = rows.withColumns({f"_x{c}": half(c, row()) for c in channels} | {f"_y{c}": half(c, column()) for c in channels}).where("_own")
+    total = sum((F.col(f"_{a}{c}") * F.col(f"_{a}{c}") for a in "xy" for c in channels), F.lit(0.0))
+    return rows.select("d", "x", "y", F.sqrt(total).alias("gradient"))
 
 
-def morph(labels: DataFrame, ink: int, op: str, r: int = 1) -> DataFrame:
-    """Erosion or dilation of one ink's mask by the (2 r + 1) square; outside counts as unset for dilation and set for erosion."""
-    mask = labels.select("d", "x", "y", (F.col("ink") == ink).cast("int").alias("m")).repartition("d")
+def stepped(mask: DataFrame, op: str, shape: str, r: int) -> DataFrame:
+    """One erosion or dilation of column m. The octagon is the square and the cross in turn."""
     pick = F.min if op == "erode" else F.max
-    rows = mask.withColumn("_a", pick("m").over(row().rowsBetween(-r, r)))
-    return rows.select("d", "x", "y", "m", pick("_a").over(column().rowsBetween(-r, r)).alias("out"))
+    if shape == "square":
+        return square(mask, r, {"_a": pick("m")}, {"m": pick("_a")})
+    beyond = F.lit(1 if op == "erode" else 0)
+    for i in range(r):
+        if shape == "octagon" and i % 2:
+            mask = square(mask, 1, {"_a": pick("m")}, {"m": pick("_a")})
+            continue
+        rows = banded(mask, 1)
+        sides = [F.coalesce(f("m").over(w), beyond) for f in (F.lag, F.lead) for w in (row(), column())]
+        mask = rows.withColumn("_m", (F.least if op == "erode" else F.greatest)("m", *sides)).where("_own").select("d", "x", "y", F.col("_m").alias("m"))
+    return mask
+
+
+def wrapped(labels: DataFrame, r: int, width: int, height: int) -> DataFrame:
+    """A repeat of ``width`` by ``height`` with ``r`` more pixels on every side, taken from the opposite edge."""
+    shifts = lambda c, n: F.array_compact(F.array(c, F.when(c < r, c + n), F.when(c >= n - r, c - n)))
+    return labels.withColumn("x", F.explode(shifts(F.col("x"), width))).withColumn("y", F.explode(shifts(F.col("y"), height)))
+
+
+def morph(labels: DataFrame, ink: int, op: str, r: int = 1, shape: str = "square", wrap: tuple[int, int] | None = None) -> DataFrame:
+    """Erosion, dilation, opening or closing of one ink's mask (m, out), by ``r`` steps of a square, cross or octagon.
+
+    Outside counts as unset for dilation and set for erosion; with ``wrap`` (width, height) the design is a repeat and goes on
+    at its opposite edge.
+    """
+    mask = labels.select("d", "x", "y", (F.col("ink") == ink).cast("int").alias("m"))
+    steps = {"open": ("erode", "dilate"), "close": ("dilate", "erode")}.get(op, (op,))
+    out = wrapped(mask, r * len(steps), *wrap) if wrap else mask
+    for step in steps:
+        out = stepped(out, step, shape, r)
+    return mask.join(out.withColumnRenamed("m", "out"), ["d", "x", "y"])
+
 
+def cross_near(c: str) -> tuple[Column, ...]:
+    return F.lag(c).over(row()), F.lead(c).over(row()), F.lag(c).over(column()), F.lead(c).over(column())
 
-def underbase(screens: DataFrame) -> DataFrame:
-    """Union of all inks choked by one pixel (cross); what the choke would erase whole is kept."""
-    near = lambda c: (F.lag(c).over(row()), F.lead(c).over(row()), F.lag(c).over(column()), F.lead(c).over(column()))
-    union = screens.select("d", "x", "y", (F.col("ink") >= 0).cast("int").alias("u")).repartition("d")
-    eroded = union.withColumn("_e", F.least("u", *[F.coalesce(c, F.lit(1)) for c in near("u")]))
-    reach = eroded.withColumn("_r", F.greatest("_e", *[F.coalesce(c, F.lit(0)) for c in near("_e")]))
-    return reach.select("d", "x", "y", "u", F.greatest("_e", (F.col("u") * (1 - F.col("_r")))).alias("white"))
 
+def underbase(screens: DataFrame, choke: int = 1) -> DataFrame:
+    """Union of all inks choked by ``choke`` pixels (cross); what the choke would erase whole is kept."""
+    union = banded(screens.select("d", "x", "y", (F.col("ink") >= 0).cast("int").alias("u")), 2 * choke).withColumn("_r", F.col("u"))
+    for _ in range(choke):
+        union = union.withColumn("_e", F.least("_r", *[F.coalesce(c, F.lit(1)) for c in cross_near("_r")])).drop("_r").withColumnRenamed("_e", "_r")
+    reach = union.withColumn("_e", F.col("_r"))
+    for _ in range(choke):
+        reach = reach.withColumn("_w", F.greatest("_r", *[F.coalesce(c, F.lit(0)) for c in cross_near("_r")])).drop("_r").withColumnRenamed("_w", "_r")
+    return reach.where("_own").select("d", "x", "y", "u", F.greatest("_e", (F.col("u") * (1 - F.col("_r")))).alias("white"))
 
-def trap(labels: DataFrame, rank: DataFrame) -> DataFrame:
-    """Pixels that lighter inks spread to, one pixel (cross), under darker ones. ``rank``: ink, place in the press order (a few rows)."""
-    placed = labels.join(F.broadcast(rank), "ink", "left").select("d", "x", "y", "ink", "place").repartition("d")
-    around = F.array(F.lag("place").over(row()), F.lead("place").over(row()), F.lag("place").over(column()), F.lead("place").over(column()))
-    spread = placed.withColumn("_p", around).where("place is not null").select("d", "x", "y", "place", F.explode(F.array_distinct("_p")).alias("under"))
-    return spread.where("under < place").groupBy("d", "under", "place").agg(F.count("*").alias("pixels"))
+
+def trap(labels: DataFrame, rank: DataFrame, spread: int = 1) -> DataFrame:
+    """Pixels that lighter inks spread to, ``spread`` pixels (cross), under darker ones. ``rank``: ink, place in the press order (a few rows).
+
+    The lightest ink within reach lies under a pixel as well as those between: each counts.
+    """
+    placed = banded(labels.join(F.broadcast(rank), "ink", "left").select("d", "x", "y", "ink", "place"), spread).withColumn("_p", F.when(F.col("place").isNull(), F.array().cast("array<int>")).otherwise(F.array("place")))
+    for _ in range(spread):
+        sides = [F.coalesce(c, F.array().cast("array<int>")) for c in cross_near("_p")]
+        placed = placed.withColumn("_q", F.array_distinct(F.concat("_p", *sides))).drop("_p").withColumnRenamed("_q", "_p")
+    under = placed.where("_own and place is not null").select("d", "x", "y", "place", F.explode("_p").alias("under"))
+    return under.where("under < place").groupBy("d", "under", "place").agg(F.count("*").alias("pixels"))
 
 
 def seam_steps(pixels: DataFrame) -> DataFrame:
@@ -126,7 +194,7 @@ def seam_steps(pixels: DataFrame) -> DataFrame:
     rows = pixels.join(full, "d")
     gap = lambda p, q: sum((F.abs(F.col(f"{p}.{c}") - F.col(f"{q}.{c}")) for c in "rgb"), F.lit(0))
     rgb = F.struct("r", "g", "b")
-    inner = rows.withColumn("_v", rgb).repartition("d").withColumn("_n", F.lead("_v").over(row())).where("_n is not null").groupBy("d").agg(F.avg(gap("_n", "_v")).alias("inner"))
+    inner = rows.withColumn("_v", rgb).withColumn("_n", F.lead("_v").over(line())).where("_n is not null").groupBy("d").agg(F.avg(gap("_n", "_v")).alias("inner"))
     ends = rows.groupBy("d", "y").agg(F.max(F.when(F.col("x") == 0, rgb)).alias("a"), F.max(F.when(F.col("x") == F.col("_w"), rgb)).alias("z"), F.max(F.when(F.col("x") == F.floor((F.col("_w") + 1) / 2), rgb)).alias("m")).where("z is not null")
     seams = ends.groupBy("d").agg(F.avg(gap("a", "z")).alias("seam"), F.avg(gap("a", "m")).alias("far"))
     near = F.when(F.col("inner") > 0, F.col("seam") <= 1.5 * F.col("inner")).otherwise(F.col("seam") == 0)
@@ -135,15 +203,15 @@ def seam_steps(pixels: DataFrame) -> DataFrame:
 
 def soft_edge(pixels: DataFrame) -> DataFrame:
     """Partly transparent area by printed-edge length (printing pixels with a non-printing 4-neighbour); 0 without an edge."""
-    rows = pixels.select("d", "x", "y", "a", (F.col("a") >= 128).alias("m")).repartition("d")
+    rows = banded(pixels.select("d", "x", "y", "a", (F.col("a") >= 128).alias("m")), 1)
     off = lambda c: F.coalesce(~c, F.lit(False))
     beside = off(F.lag("m").over(row())) | off(F.lead("m").over(row())) | off(F.lag("m").over(column())) | off(F.lead("m").over(column()))
-    out = rows.withColumn("_e", F.col("m") & beside).groupBy("d").agg(F.sum(((F.col("a") > 0) & (F.col("a") < 255)).cast("long")).alias("partial"), F.sum(F.col("_e").cast("long")).alias("edge"))
+    out = rows.withColumn("_e", F.col("m") & beside).where("_own").groupBy("d").agg(F.sum(((F.col("a") > 0) & (F.col("a") < 255)).cast("long")).alias("partial"), F.sum(F.col("_e").cast("long")).alias("edge"))
     return out.select("d", "partial", "edge", F.when(F.col("edge") > 0, F.round(F.col("partial") / F.col("edge"), 4)).otherwise(0.0).alias("soft_edge"))
 
 
 def runs(labels: DataFrame) -> DataFrame:
     """Horizontal runs of one ink: d, ink, y, x0, x1, by gaps and islands. Ten to a hundred times fewer rows than pixels."""
     same = Window.partitionBy("d", "y", "ink").orderBy("x")
-    rows = labels.where("ink >= 0").repartition("d").withColumn("_g", F.col("x") - F.row_number().over(same))
+    rows = labels.where("ink >= 0").repartition("d", "y").withColumn("_g", F.col("x") - F.row_number().over(same))
     return rows.groupBy("d", "ink", "y", "_g").agg(F.min("x").alias("x0"), F.max("x").alias("x1")).drop("_g")

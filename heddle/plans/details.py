@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import colour
+from ..functions import print_rules as rules
 from ..operators import detail as D
 from ..operators import palette as P
+from ..operators import raster, reduce
+from ..operators.graph import cut
 from . import fixtures as X
 from .palettes import PAIRS, TOP, top_inks
 from .rasters import NEAR, R_, SAME, around
@@ -44,8 +48,8 @@ def _(spark, d):
 
 
 @query("n20_film_seams", f"""
-with l as (select d, x, y, ink > 0 as on_ from {X.LABELS} q), e as (select a.d, count(*) filter (a.on_ <> z.on_) as seam, count(*) as length from l a join l z on a.d = z.d and a.y = z.y and a.x = 0 and z.x = 63 group by 1),
-i as (select d, count(*) filter (on_ <> n) / 8::double as near from (select *, lead(on_) over {R_} as n from l) z where x < 4 or x between 59 and 62 group by 1)
+with l as materialized (select d, x, y, ink > 0 as on_, max(x) over (partition by d) as w from {X.LABELS} q), e as (select a.d, count(*) filter (a.on_ <> z.on_) as seam, count(*) as length from l a join l z on a.d = z.d and a.y = z.y and a.x = 0 and z.x = z.w group by 1),
+i as (select d, count(*) filter (on_ <> n) / 8::double as near from (select *, lead(on_) over {R_} as n from l) z where x < 4 or (x >= w - 4 and x < w) group by 1)
 select e.d, seam, round(near, 4) as near, seam <= 1.5::double * near + greatest(3::double, 0.002::double * length) as ok from e join i on i.d = e.d""")
 def _(spark, d):
     return D.film_seams(X.labels(spark, d))
@@ -86,12 +90,44 @@ def _(spark, d):
 
 @query("k3_merge_to")
 def _(spark, d):
-    return D.merge_palettes(P.with_lab(top_inks(spark, d)), 4)
+    """Each design's inks merged down to four, shades woven through each other before the least important ink."""
+    inks = cut(P.with_lab(top_inks(spark, d)))
+    labels = X.pixels(spark, d).selectExpr("d", "x", "y", f"{colour.packed()} as rgb").join(inks.select("d", "rgb", "ink"), ["d", "rgb"], "left").select("d", "x", "y", F.coalesce("ink", F.lit(-1)).alias("ink"))
+    return reduce.merge_palettes(inks, 4, raster.contacts(labels))
 
 
 @query("k11_merge_twins")
 def _(spark, d):
-    return D.merge_palettes(P.with_lab(top_inks(spark, d)), 8)
+    """Inks that look the same (CIEDE2000 under 3) become one; a palette of eight has no others to lose."""
+    return reduce.merge_palettes(P.with_lab(top_inks(spark, d)), 8, all_twins=True)
+
+
+@query("k5_reduce")
+def _(spark, d):
+    """Every design in four inks at most: pixels of each ink, with its colour."""
+    labels, palette = reduce.reduce(X.pixels(spark, d), 4)
+    n = labels.groupBy("d", "ink").agg(F.count("*").alias("pixels"))
+    return n.join(palette, ["d", "ink"], "left").select("d", "ink", "pixels", "r", "g", "b")
+
+
+@query("k4_feature_inks")
+def _(spark, d):
+    """Pixels of every design that are edges, and that are thin lines."""
+    t = reduce.edges_and_features(X.pixels(spark, d))
+    return t.groupBy("d").agg(F.count_if("edge").alias("edges"), F.count_if("feature").alias("features"))
+
+
+@query("n10_keep_hairlines")
+def _(spark, d):
+    """Pixels of every design that a 3 x 3 median would change and that are restored as thin lines."""
+    p = X.pixels(spark, d)
+    smooth = None
+    for c in "rgb":
+        one = raster.median_filter(p, c).select("d", "x", "y", F.col("median").alias(c))
+        smooth = one if smooth is None else smooth.join(one, ["d", "x", "y"])
+    kept = reduce.keep_hairlines(p, smooth).selectExpr("d", "x", "y", "r as kr", "g as kg", "b as kb")
+    both = kept.join(smooth, ["d", "x", "y"])
+    return both.groupBy("d").agg(F.count("*").alias("pixels"), F.count_if(F.expr("kr != r or kg != g or kb != b")).alias("restored"))
 
 
 KNOWN = [("screen_cost", 1e9), ("margin_percent", 1000.0), ("gst_percent", 100.0), ("wastage_percent", 100.0)]
@@ -103,11 +139,15 @@ def _(spark, d):
     return D.check_settings(X.named(spark, d, "customer").selectExpr(*[f"{e} as {c}" for c, e in SETTING.items()]), spark.createDataFrame(KNOWN, "name string, most double"))
 
 
-@query("l19_memory_summary", """
-select code, verdict, count(*) as n from (select o_orderstatus as verdict, unnest(list_filter([case when o_totalprice % 100 < 30 then 'low_match' end, case when o_custkey % 7 = 0 then 'grainy' end, case when o_orderkey % 5 = 0 then 'many_inks' end], lambda c: c is not null)) as code from orders) z group by 1, 2""")
+RUN = {"similar": "o_orderkey % 4", "tiny": "o_orderkey % 3", "missed": "o_orderkey % 7 - 3", "match": "90 + o_orderkey % 12", "inks": "o_custkey % 12", "limit": "case when o_orderkey % 5 <> 0 then 8 end", "areas": "o_custkey * 3", "woven": "o_orderkey % 9 = 0", "grain": "o_orderkey % 5", "line_mm": "(o_orderkey % 4) / 10e0", "tried": "o_orderkey % 3"}
+ADVICE = {"similar_inks": '"similar" > 0', "tiny_parts": "tiny > 0", "missed_numbers": "missed > 0", "match_low": "match < 99", "colours_at_limit": '"limit" > 0 and inks >= "limit"', "busy": "areas > 1500", "woven": "woven", "grainy": "not woven and grain >= 2", "thick_line_won": "line_mm > 0.17 and tried > 1"}
+
+
+@query("l19_memory_summary", "select code, verdict, count(*) as n from (select o_orderstatus as verdict, unnest(list_filter([" + ", ".join(f"case when {t} then '{c}' end" for c, t in ADVICE.items()) + "], lambda c: c is not null)) as code from (select o_orderstatus, " + ", ".join(f'{e} as "{c}"' for c, e in RUN.items()) + " from orders) q) z group by 1, 2")
 def _(spark, d):
-    codes = F.filter(F.array(F.when(F.expr("o_totalprice % 100 < 30"), "low_match"), F.when(F.expr("o_custkey % 7 = 0"), "grainy"), F.when(F.expr("o_orderkey % 5 = 0"), "many_inks")), lambda c: c.isNotNull())
-    return X.named(spark, d, "orders").select(F.col("o_orderstatus").alias("verdict"), F.explode(codes).alias("code")).groupBy("code", "verdict").agg(F.count("*").alias("n"))
+    codes = rules.advice({c: F.expr(e) for c, e in RUN.items()})
+    t = X.named(spark, d, "orders").select(F.col("o_orderstatus").alias("verdict"), F.explode(codes).alias("code"))
+    return t.groupBy("code", "verdict").agg(F.count("*").alias("n"))
 
 
 @query("l22_merge_plates", f"select d, plate, count(*) as pixels, round(avg(alpha / 255::double), 4) as tone from (select d, case screen when 0 then 'ground' else 'motif' end as plate, x, y, max(alpha) as alpha from {SOFT} s group by 1, 2, 3, 4) q group by 1, 2")
@@ -125,23 +165,25 @@ def _(spark, d):
     return D.replay_edits(X.chars(spark, d).selectExpr("d", "x", "y", "cp as alpha"), edits).groupBy("d", "alpha").agg(F.count("*").alias("n"))
 
 
-WORDS = ["red", "blue", "green", "small", "large"]
+@query("f10_ink_from_name", "select p_partkey, case " + " ".join(f"when contains(upper(p_name), '{w}') then '{c}'" for w, c in rules.INK_WORDS) + " else list_extract([" + ", ".join(f"'{c}'" for c in rules.CHANNEL_COLOURS) + "], (p_partkey % 12 + 1)::int) end as ink from part")
+def _(spark, d):
+    return X.named(spark, d, "part").select("p_partkey", rules.channel_colour(F.col("p_name"), F.col("p_partkey")).alias("ink"))
 
 
-@query("f10_ink_from_name", "select p_partkey, case " + " ".join(f"when contains(lower(p_name), '{w}') then '{w}'" for w in WORDS) + " else 'cycle' || (p_partkey % 6) end as ink from part")
-def _(spark, d):
-    table = F.broadcast(spark.createDataFrame(list(enumerate(WORDS)), "place int, word string"))
-    t = X.named(spark, d, "part").select("p_partkey", F.lower("p_name").alias("name"))
-    hit = t.join(table, F.expr("contains(name, word)"), "left").groupBy("p_partkey").agg(F.min_by("word", "place").alias("word"))
-    return hit.select("p_partkey", F.coalesce("word", F.concat(F.lit("cycle"), (F.col("p_partkey") % 6).cast("string"))).alias("ink"))
+#: Descriptions: a document's text, and one of the vocabularies' words, in capitals.
+SPOKEN = [w for words in (*rules.MOTIFS.values(), *rules.STYLES.values()) for w in words]
+SAID = "upper(list_extract([" + ", ".join(f"'{w}'" for w in SPOKEN) + f"], (doc_id % {len(SPOKEN)} + 1)::int))"
 
 
-MOTIFS = ["the", "tion", "und", "que", "ing"]
+def labelled(vocabulary):
+    return "concat_ws(','," + ", ".join("case when " + " or ".join(f"contains(lower(t), '{w}')" for w in words) + f" then '{label}' end" for label, words in vocabulary.items()) + ")"
 
 
-@query("f11_keywords", "select doc_id, " + " || ".join(f"case when contains(lower(text), '{m}') then '{m} ' else '' end" for m in MOTIFS) + " as keywords from documents where text is not null")
+@query("f11_keywords", f"select doc_id, {labelled(rules.MOTIFS)} as motifs, {labelled(rules.STYLES)} as styles from (select doc_id, coalesce(text, '') || ' ' || {SAID} as t from documents) z")
 def _(spark, d):
-    found = [F.when(F.contains(F.lower("text"), F.lit(m)), F.lit(f"{m} ")).otherwise("") for m in MOTIFS]
-    return X.named(spark, d, "documents").where("text is not null").select("doc_id", F.concat(*found).alias("keywords"))
+    said = F.upper(F.get(F.array(*map(F.lit, SPOKEN)), (F.col("doc_id") % len(SPOKEN)).cast("int")))
+    t = X.named(spark, d, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit(" "), said).alias("t"))
+    return t.select("doc_id", F.array_join(rules.keywords(F.col("t"), rules.MOTIFS), ",").alias("motifs"), F.array_join(rules.keywords(F.col("t"), rules.STYLES), ",").alias("styles"))
+
 
 

@@ -46,7 +46,7 @@ def _(spark, d):
 
 
 @query("n5_mode_filter", f"""
-select d, ink, m as mode, count(*) as n from (select d, x, y, ink, (select v from (select v, count(*) as c from (select unnest([ink, {', '.join(R.AROUND)}]) as v) u where v is not null group by 1) t order by c desc, v limit 1) as m from {NEAR} k where d % 1 = 0) z group by 1, 2, 3""")
+select d, ink, m as mode, count(*) as n from (select d, x, y, ink, (select v from (select v, count(*) as c from (select unnest([ink, {', '.join(R.AROUND)}]) as v) u where v is not null group by 1) t order by c desc, v limit 1) as m from {NEAR} k) z group by 1, 2, 3""")
 def _(spark, d):
     return R.mode_filter(X.labels(spark, d)).groupBy("d", "ink", "mode").agg(F.count("*").alias("n"))
 
@@ -80,11 +80,17 @@ def _(spark, d):
     return R.gradient(X.pixels(spark, d)).groupBy("d").agg(F.sum((F.col("gradient") > 6.2).cast("long")).alias("edges"), F.count("*").alias("n"))
 
 
-for op, pick in (("erode", "min"), ("dilate", "max")):
+def mask_box(source: str, pick: str) -> str:
+    around_ = "rows between 1 preceding and 1 following"
+    return f"(select d, x, y, {pick}(a) over (partition by d, x order by y {around_}) as m from (select d, x, y, {pick}(m) over (partition by d, y order by x {around_}) as a from {source} q) w)"
 
-    @query(f"n13_{op}", f"""
-select d, sum(m)::bigint as before, sum(o)::bigint as after from (select d, m, {pick}(a) over (partition by d, x order by y rows between 1 preceding and 1 following) as o
-from (select d, x, y, m, {pick}(m) over (partition by d, y order by x rows between 1 preceding and 1 following) as a from (select d, x, y, (ink = 2)::int as m from {X.LABELS} l) q) w) v group by 1""")
+
+MASK = f"(select d, x, y, (ink = 2)::int as m from {X.LABELS} l)"
+ERODED, DILATED = mask_box(MASK, "min"), mask_box(MASK, "max")
+
+for op, out in (("erode", ERODED), ("dilate", DILATED), ("open", mask_box(ERODED, "max")), ("close", mask_box(DILATED, "min"))):
+
+    @query(f"n13_{op}", f"select b.d, sum(b.m)::bigint as before, sum(o.m)::bigint as after from {MASK} b join {out} o on o.d = b.d and o.x = b.x and o.y = b.y group by 1")
     def _(spark, d, op=op):
         return R.morph(X.labels(spark, d), 2, op).groupBy("d").agg(F.sum("m").alias("before"), F.sum("out").alias("after"))
 
@@ -148,6 +154,14 @@ def _(spark, d):
     return G.speck_report(G.regions(X.labels(spark, d)), 4)
 
 
+@query("n16_clean_specks")
+def _(spark, d):
+    """Pixels that change hands when islands of one or two pixels go to their surroundings, in one pass."""
+    labels = X.labels(spark, d)
+    after = G.clean_specks(labels, 2, passes=1).withColumnRenamed("ink", "to")
+    return labels.join(after, ["d", "x", "y"]).groupBy("d", "ink", "to").agg(F.count("*").alias("n"))
+
+
 JOINED = f"(select l.d, l.x, l.y, l.ink as a, r.ink as b from {X.LABELS} l join {REF} r on l.d = r.d and l.x = r.x and l.y = r.y)"
 
 
