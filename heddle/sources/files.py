@@ -48,6 +48,8 @@ def read_job_log(spark: SparkSession, path: str) -> DataFrame:
     """The job log as text columns in today's order, numbers as doubles (unreadable ones 0), missing columns empty, the byte mark gone."""
     raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
     raw = raw.toDF(*[c.lstrip("﻿") for c in raw.columns])
+    bare = lambda c: F.when(c.rlike("^'[=+\\-@\t\r]"), F.substring(c, 2, 1 << 30)).otherwise(c)
+    raw = raw.select(*[bare(F.col(f"`{c}`")).alias(c) for c in raw.columns])
     have = [F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) if c in raw.columns else F.lit("").alias(c) for c in LOG_COLUMNS]
     return raw.select(*have).withColumns({c: F.coalesce(F.col(c).try_cast("double"), F.lit(0.0)) for c in NUMBERS})
 
@@ -97,6 +99,13 @@ def append_events(events: DataFrame, path: str) -> None:
     events.select(*cells).write.mode("append").option("header", True).csv(path)
 
 
+def read_events(spark: SparkSession, path: str) -> DataFrame:
+    """Appended events as text columns, with the quotes before formula-like cells taken away again."""
+    raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
+    plain = lambda c: F.coalesce(F.when(c.rlike("^'[=+\\-@\t\r]"), F.substring(c, 2, 1 << 30)).otherwise(c), F.lit(""))
+    return raw.select(*[plain(F.col(f"`{c}`")).alias(c) for c in raw.columns])
+
+
 def latest(rows: DataFrame, kind: str, order: str, n: int = 500) -> DataFrame:
     """The newest ``n`` rows of each kind."""
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy(kind).orderBy(F.desc(order)))).where(F.col("_r") <= n).drop("_r")
