@@ -426,6 +426,46 @@ def test_neighbours(spark):
     assert [(r.a, r.b, r.n) for r in raster.contacts(labels).collect()] == [(0, 1, 4)]
 
 
+def test_swap_plan_takes_the_closest_pairs_first(spark):
+    rnd = random.Random(3)
+    pairs = [(d, i, f"s{j}", float(rnd.randrange(40))) for d in range(4) for i in range(6) for j in range(5)]
+    got = sorted((r.d, r.ink, r.shelf, r.de) for r in screens.swap_plan(spark.createDataFrame(pairs, "d int, ink int, shelf string, de double")).collect())
+    want, used = [], set()
+    for d, i, s_, de in sorted(pairs, key=lambda p: (p[0], p[3], p[1], p[2])):
+        if (d, "ink", i) not in used and (d, "shelf", s_) not in used:
+            used |= {(d, "ink", i), (d, "shelf", s_)}
+            want.append((d, i, s_, de))
+    assert got == sorted(want)
+
+
+def test_methods_are_scored_alike(spark):
+    rows = [(1, (200 << 16) | 10, 50), (1, (20 << 16) | 200, 30), (1, (90 << 16) | (90 << 8) | 90, 5), (1, (205 << 16) | 12, 9)]
+    counts = palette.with_lab(spark.createDataFrame(rows, "d long, rgb int, n long"))
+    got = {r.method: r.error for r in methods.score_methods(counts, 2).collect()}
+    assert set(got) == set(methods.METHODS)
+    lab = colour.lab_array(np.array([(c >> 16, c >> 8 & 255, c & 255) for _, c, _ in rows]))
+    n = np.array([k for *_, k in rows], float)
+    for name, f in methods.METHODS.items():
+        order = np.argsort([c for _, c, _ in rows])
+        centres = f(lab[order], n[order], 2)
+        want = (((lab[:, None] - centres[None]) ** 2).sum(2).min(1) * n).sum() / n.sum()
+        assert abs(got[name] - want) < 1e-3
+    assert got["k-means"] <= got["commonest"]
+
+
+def test_results_dont_depend_on_partitions(spark):
+    rnd = random.Random(6)
+    labels = grid(spark, ["".join(rnd.choice("0012") for _ in range(40)) for _ in range(30)])
+    events = spark.createDataFrame([(i, rnd.choice(["made", "stage", "repeat"]), rnd.randrange(9), "auto_ok", rnd.choice(["sent", "approved", None]), i) for i in range(200)], "seq long, event string, job_id long, status string, stage string, t int")
+    events = events.selectExpr("*", "timestamp_seconds(t) as time", "'C ' || job_id as client", "'' as design", "1e0 as meters", "2e0 as quote_total", "3e0 as seconds")
+    jobs_ = {
+        "dots": (labels, raster.isolated_dots), "mode": (labels, raster.mode_filter), "regions": (labels, lambda x: regions.regions(x).drop("region")), "coverage": (labels, palette.coverage), "state": (events, ledger.job_state),
+        "hash": (labels.selectExpr("d", "x", "y", "ink * 9 as r", "x as g", "y as b"), screens.design_hash), "specks": (labels, lambda x: regions.clean_specks(x, 1, 1)),
+    }
+    for name, (table, f) in jobs_.items():
+        assert plain(f(table.repartition(7)).collect()) == plain(f(table.coalesce(1)).collect()), name
+
+
 def test_proof_and_package(spark):
     labels = grid(spark, ["01", "10"])
     assert screens.verify_package(labels, screens.separate(labels)).first().ok
