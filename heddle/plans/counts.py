@@ -11,6 +11,7 @@ from ..operators import detail as D
 from ..operators import methods as M
 from ..operators import palette as P
 from ..operators import raster as R
+from ..operators import score as C
 from ..operators import screens as S
 from . import fixtures as X
 from .ledgers import TRIALS
@@ -22,12 +23,12 @@ LUM = colour.luminance()
 
 
 @query("a18_image_summary", f"""
-select d, count(distinct {colour.packed()}) as colours, round(avg({LUM}), 4) as mean_lum, round(stddev_pop({LUM}), 4) as std_lum,
-  concat_ws(',', case when count(distinct {colour.packed()}) > 40 then 'many_colours' end, case when stddev_pop({LUM}) < 0.2 then 'low_contrast' end, case when count(*) < 500 then 'small' end) as warnings from {X.PIXELS} p group by 1""")
+with p as (select d, x, y, {colour.packed()} as rgb, {LUM} as lum from {X.PIXELS} q), s as (select *, abs(lead(lum) over {R_} - lum) as sx, abs(lead(lum) over {C_} - lum) as sy from p),
+t as (select d, max(x) + 1 as width, max(y) + 1 as height, count(distinct rgb) as colours, avg(lum) as m, stddev_pop(lum) as s, coalesce(avg(sx), 0) + coalesce(avg(sy), 0) as step from s group by 1)
+select d, width, height, colours, round(m, 4) as mean_lum, round(s, 4) as std_lum, round(least(1, 0.65::double * least(1, step * 8) + 0.35::double * s), 4) as gradient, round(least(1, step * 2), 4) as edges,
+  concat_ws(',', case when least(width, height) < 256 then 'small' end, case when colours > 50000 then 'many_colours' end, case when s > 0.22 then 'broad_tones' end, case when width::bigint * height > 12000000 then 'large' end) as warnings from t""")
 def _(spark, d):
-    t = X.pixels(spark, d).selectExpr("d", f"{colour.packed()} as rgb", f"{LUM} as lum").groupBy("d").agg(F.count_distinct("rgb").alias("colours"), F.avg("lum").alias("m"), F.stddev_pop("lum").alias("s"), F.count("*").alias("n"))
-    codes = F.array(F.when(F.col("colours") > 40, "many_colours"), F.when(F.col("s") < 0.2, "low_contrast"), F.when(F.col("n") < 500, "small"))
-    return t.select("d", "colours", F.round("m", 4).alias("mean_lum"), F.round("s", 4).alias("std_lum"), F.array_join(codes, ",").alias("warnings"))
+    return C.image_summary(X.pixels(spark, d))
 
 
 @query("a19_design_dna", f"""
@@ -55,11 +56,10 @@ def _(spark, d):
 
 
 @query("a11_ink_colours", f"""
-with k as (select *, lag(ink) over {R_} = ink and lead(ink) over {R_} = ink and lag(ink) over {C_} = ink and lead(ink) over {C_} = ink as inner_ from (select d, x, y, r, {X.INK} as ink from {X.PIXELS} p) q)
-select d, ink, count(*) as n, round(coalesce(avg(case when inner_ then r end), avg(r)), 3) as r from k where ink >= 0 group by 1, 2""")
+with k as (select *, lag(ink) over {R_} = ink and lead(ink) over {R_} = ink and lag(ink) over {C_} = ink and lead(ink) over {C_} = ink as inner_, cp % 2 = 0 as kept from (select d, x, y, r, g, b, cp, {X.INK} as ink from {X.PIXELS} p) q)
+select d, ink, count(*) as n, {', '.join(f"round(coalesce(avg(case when inner_ then {c} end), avg(case when kept then {c} end), avg({c})), 3) as {c}" for c in 'rgb')} from k where ink >= 0 group by 1, 2""")
 def _(spark, d):
-    t = R.neighbours(X.pixels(spark, d).selectExpr("d", "x", "y", "r", f"{X.INK} as ink")).withColumn("inside", F.expr("n = ink and s = ink and w = ink and e = ink")).where("ink >= 0")
-    return t.groupBy("d", "ink").agg(F.count("*").alias("n"), F.round(F.coalesce(F.avg(F.when(F.col("inside"), F.col("r"))), F.avg("r")), 3).alias("r"))
+    return C.ink_colours(X.pixels(spark, d).selectExpr("d", "x", "y", "r", "g", "b", f"{X.INK} as ink", "cp % 2 = 0 as kept"), kept="kept")
 
 
 @query("p6_to_8bit", f"select d, (cp * 257 * 3 // 257 // 3)::int as v, count(*) as n from {X.PIXELS} p where a >= 128 group by 1, 2")

@@ -242,9 +242,16 @@ def _(spark, d):
     return X.named(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("folder"), result.alias("result")).agg(F.count("*").alias("n"), F.round(F.sum(F.col("l_quantity") * 2.5), 1).alias("grams"))
 
 
-@query("l24_swap_palette", f"select job, hex, round(sum(coverage), 3) as coverage, min(name) as name, count(*) as inks from {INKS} q group by 1, 2")
+@query("l24_swap_palette", f"""
+with i as (select *, row_number() over (partition by job order by name, coverage, hex) as place from {INKS} q)
+select job as owner, min(place)::int as place, hex, arg_min(name, place) as name, round(sum(coverage), 2) as coverage, count(*) as inks from i group by 1, 3""")
 def _(spark, d):
-    return quote_inks(spark, d).groupBy("job", "hex").agg(F.round(F.sum("coverage"), 3).alias("coverage"), F.min("name").alias("name"), F.count("*").alias("inks"))
+    from pyspark.sql import Window
+
+    from ..operators.score import swap_palette
+
+    place = F.row_number().over(Window.partitionBy("job").orderBy("name", "coverage", "hex"))  # a job has a few inks
+    return swap_palette(quote_inks(spark, d).withColumn("place", place).withColumnRenamed("job", "owner"))
 
 
 @query("j11_client_rates", "select o_orderkey as job, case when c_custkey % 10 = 0 then 10 + (c_custkey % 50) / 10::double else 15 end as margin_percent, case when c_custkey % 20 = 0 then 1200::double else 1500 end as screen_cost from orders join customer on o_custkey = c_custkey")

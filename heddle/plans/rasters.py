@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import palette as P
 from ..operators import raster as R
 from ..operators import regions as G
+from ..operators import score as C
 from . import fixtures as X
 from .palettes import REF, ref_labels
 from .registry import query
@@ -167,8 +168,10 @@ JOINED = f"(select l.d, l.x, l.y, l.ink as a, r.ink as b from {X.LABELS} l join
 
 @query("a13_agreement", f"select d, round(100 * avg((a = b)::int::double), 4) as agreement from {JOINED} q group by 1")
 def _(spark, d):
-    a, b = X.labels(spark, d), ref_labels(spark, d).withColumnRenamed("ink", "b")
-    return a.join(b, ["d", "x", "y"]).groupBy("d").agg(F.round(100 * F.avg((F.col("ink") == F.col("b")).cast("double")), 4).alias("agreement"))
+    """Both rasters are in the fixed inks, so each ink's nearest truth colour is its own."""
+    labels = X.labels(spark, d)
+    inks = labels.select("d").distinct().crossJoin(F.broadcast(X.palette(spark)))
+    return C.agreement(labels, inks.selectExpr("d", "ink", "pr * 65536 + pg * 256 + pb as rgb"), ref_labels(spark, d), inks)
 
 
 @query("j6_colour_map", f"select d, a, case when count(distinct b) = 1 then min(b) end as b, count(distinct b) as ways from {JOINED} q group by 1, 2")
@@ -179,23 +182,27 @@ def _(spark, d):
 
 
 @query("a22_reconstruction", f"""
-select d, round(avg(abs(a - b)), 4) as mae, round(sqrt(avg((a - b) * (a - b))), 4) as rmse from (select p.d, p.r as a, q.r as b from {X.PIXELS} p join {X.PIXELS_SOFT} q on p.d = q.d and p.x = q.x and p.y = q.y) z group by 1""")
+with z as (select p.d, abs(p.r - q.r) as r, abs(p.g - q.g) as g, abs(p.b - q.b) as b from {X.PIXELS} p join {X.PIXELS_SOFT} q on p.d = q.d and p.x = q.x and p.y = q.y), t as (select d, avg(r) as mr, avg(g) as mg, avg(b) as mb, sqrt(avg((r * r + g * g + b * b)::double) / 3) as rmse from z group by 1)
+select d, round((mr + mg + mb) / 3, 4) as mae, round(rmse, 4) as rmse, round(20 * log10(255 / greatest(rmse, 1e-8)), 3) as psnr_db, round(mr, 4) as mae_r, round(mg, 4) as mae_g, round(mb, 4) as mae_b from t""")
 def _(spark, d):
-    a, b = X.pixels(spark, d).select("d", "x", "y", "r"), X.pixels(spark, d, soft=True).selectExpr("d", "x", "y", "r as q")
-    gap = F.col("r") - F.col("q")
-    return a.join(b, ["d", "x", "y"]).groupBy("d").agg(F.round(F.avg(F.abs(gap)), 4).alias("mae"), F.round(F.sqrt(F.avg(gap * gap)), 4).alias("rmse"))
+    return C.reconstruction(X.pixels(spark, d), X.pixels(spark, d, soft=True))
 
 
 @query("a6_ground_edge_share", f"""
-with l as materialized (select *, max(x) over (partition by d) as w, max(y) over (partition by d) as h from {X.LABELS} q)
-select d, ink, count(*) as ring, round(100 * count(*) / sum(count(*)) over (partition by d), 4) as share from l where x = 0 or y = 0 or x = w or y = h group by 1, 2""")
+with l as materialized (select *, max(x) over (partition by d) as w, max(y) over (partition by d) as h from {X.LABELS} q), t as (select d, ink, count(*) filter (x = 0 or y = 0 or x = w or y = h) as ring, count(*) as n from l group by 1, 2)
+select d, ink, ring, round(100 * ring / sum(ring) over (partition by d), 4) as share, round(100 * n / sum(n) over (partition by d), 4) as coverage from t""")
 def _(spark, d):
-    t = X.labels(spark, d)
-    size = t.groupBy("d").agg(F.max("x").alias("w"), F.max("y").alias("h"))
-    from pyspark.sql import Window
+    return C.ring_shares(X.labels(spark, d))
 
-    ring = t.join(size, "d").where("x = 0 or y = 0 or x = w or y = h").groupBy("d", "ink").agg(F.count("*").alias("ring"))
-    return ring.withColumn("share", F.round(100 * F.col("ring") / F.sum("ring").over(Window.partitionBy("d")), 4))
+
+@query("a6_ground_suggestion", f"""
+with l as materialized (select *, max(x) over (partition by d) as w, max(y) over (partition by d) as h from {X.LABELS} q), t as (select d, ink, count(*) filter (x = 0 or y = 0 or x = w or y = h) as ring, count(*) as n from l group by 1, 2),
+s as (select d, ink, round(100 * ring / sum(ring) over (partition by d), 4) as share, round(100 * n / sum(n) over (partition by d), 4) as cover from t)
+select d, ink, ink = 0 as matches from (select *, row_number() over (partition by d order by share desc, ink) as k from s where ink >= 0 and share >= 40 and cover >= 20) z where k = 1""")
+def _(spark, d):
+    """The ground of each design on white cloth; of the fixed inks only ink 0 is white."""
+    inks = X.palette(spark).selectExpr("ink", "pr as r", "pg as g", "pb as b")
+    return C.ground_suggestion(C.ring_shares(X.labels(spark, d)), inks)
 
 
 __all__ = ["P"]

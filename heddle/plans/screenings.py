@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions import colour, layers
 from ..operators import palette as P
+from ..operators import score as C
 from ..operators import screens as S
 from . import fixtures as X
-from .palettes import COUNTS, NEAREST, REF, TOP, ref_labels, top_inks
+from .palettes import COUNTS, LAB, NEAREST, REF, TOP, TOP_LAB, ref_labels, top_inks
 from .registry import query
 
 SOFT = f"(select d, x, y, unnest(case when cp between 97 and 122 then [1, 2] else [0] end) as screen, case when cp = 32 then 255 else cp end as alpha from {X.CHARS} c)"
@@ -92,8 +93,15 @@ def _(spark, d):
 
 @query("a12_palette_match", f"select d, round(100 * greatest(0, 1 - sum(n * de) / sum(n) / 25), 4) as match from {layers.sql(NEAREST, colour.de2000('', 'p'))} q group by 1")
 def _(spark, d):
-    t = layers.add(P.nearest_ink(P.colour_counts(X.pixels(spark, d)), X.palette(spark)), colour.de2000("", "p"))
-    return t.groupBy("d").agg(F.round(100 * F.greatest(F.lit(0.0), 1 - F.sum(F.col("n") * F.col("de")) / F.sum("n") / 25), 4).alias("match"))
+    return C.palette_accuracy(P.colour_counts(X.pixels(spark, d)), X.palette(spark))
+
+
+SOFT_LAB = layers.sql(f"(select p.d, p.r, p.g, p.b, q.r as u, q.g as v, q.b as w, count(*) as n from {X.PIXELS} p join {X.PIXELS_SOFT} q on p.d = q.d and p.x = q.x and p.y = q.y where p.a >= 128 and q.a >= 128 group by all)", [*colour.lab("p"), *colour.lab("q", "u", "v", "w"), *colour.de2000("p", "q")])
+
+
+@query("a12_pixel_match", f"select d, round(sum(n * de) / sum(n), 4) as mean_de, round(100 * greatest(0, 1 - sum(n * de) / sum(n) / 25), 4) as match from {SOFT_LAB} q group by 1")
+def _(spark, d):
+    return C.pixel_match(X.pixels(spark, d), X.pixels(spark, d, soft=True))
 
 
 @query("j4_exact_ink", f"select c.d, c.rgb, c.n, coalesce(t.ink, -1) as ink from {COUNTS} c left join {TOP} t on t.d = c.d and t.rgb = c.rgb")
@@ -102,10 +110,14 @@ def _(spark, d):
     return counts.join(P.palette_of(counts, 8).select("d", "rgb", "ink"), ["d", "rgb"], "left").select("d", "rgb", "n", F.coalesce("ink", F.lit(-1)).alias("ink"))
 
 
-@query("j5_dropped_colours", f"select c.d, count(*) as colours, sum(c.n)::bigint as pixels from {COUNTS} c where not exists (select 1 from {TOP} t where t.d = c.d and t.rgb = c.rgb) group by 1")
+@query("j5_dropped_colours", f"""
+with t as materialized (select * from {TOP_LAB} q), c as (select * from {LAB} c where not exists (select 1 from t where t.d = c.d and t.rgb = c.rgb)),
+m as (select c.d, c.rgb, c.n, t.ink, row_number() over (partition by c.d, c.rgb order by round((c.ll - t.ll) * (c.ll - t.ll) + (c.aa - t.aa) * (c.aa - t.aa) + (c.bb - t.bb) * (c.bb - t.bb), 9), t.ink) as k from c join t on t.d = c.d)
+select d, rgb, n, ink as to_ink from m where k = 1""")
 def _(spark, d):
     counts = P.colour_counts(X.pixels(spark, d))
-    return counts.join(P.palette_of(counts, 8).select("d", "rgb"), ["d", "rgb"], "left_anti").groupBy("d").agg(F.count("*").alias("colours"), F.sum("n").alias("pixels"))
+    inks = P.palette_of(counts, 8).selectExpr("d", "cast(ink as int) as ink", *[f"{e} as p{c}" for c, e in colour.unpacked("rgb").items()])
+    return C.dropped_colours(counts, inks)
 
 
 @query("j3_swap_plan")

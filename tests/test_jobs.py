@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from heddle import plans
 from heddle.functions import colour, layers, recolour, text
 from heddle.functions import print_rules as rules
-from heddle.operators import detail, graph, ledger, methods, palette, raster, reduce, regions, screens
+from heddle.operators import detail, graph, ledger, methods, palette, raster, reduce, regions, score, screens
 from heddle.plans import fixtures
 from heddle.sources import files
 from heddle.streaming import jobs
@@ -466,6 +466,44 @@ def test_results_dont_depend_on_partitions(spark):
         assert plain(f(table.repartition(7)).collect()) == plain(f(table.coalesce(1)).collect()), name
 
 
+def test_scores(spark):
+    p = picture(spark, 8, 6, lambda x, y: RED if x < 4 else CREAM)
+    same = score.pixel_match(p, p).first()
+    assert (same.mean_de, same.match) == (0.0, 100.0)
+    moved = p.selectExpr("d", "x", "y", "least(255, r + 3) as r", "g", "b - 6 as b", "a")
+    got = score.reconstruction(p, moved).first()
+    rmse = math.sqrt((9 + 36) / 3)
+    assert (got.mae, got.rmse, got.mae_r, got.mae_g, got.mae_b) == (3.0, round(rmse, 4), 3.0, 0.0, 6.0) and abs(got.psnr_db - 20 * math.log10(255 / rmse)) < 1e-3
+    assert 0 < score.pixel_match(p, moved).first().match < 100
+    labels = p.selectExpr("d", "x", "y", "case when r = 192 then 7 else 3 end as ink")
+    truth = p.selectExpr("d", "x", "y", "case when x < 4 or y = 0 then 0 else 1 end as ink")
+    pack = lambda c: c[0] << 16 | c[1] << 8 | c[2]
+    inks = spark.createDataFrame([(1, 7, pack(RED) + 2), (1, 3, pack(CREAM))], "d long, ink int, rgb int")
+    real = spark.createDataFrame([(1, 0, *RED), (1, 1, *CREAM)], "d long, ink int, pr int, pg int, pb int")
+    assert score.agreement(labels, inks, truth, real).first().agreement == round(100 * 44 / 48, 4)
+    dropped = score.dropped_colours(spark.createDataFrame([(1, pack(RED), 5), (1, pack(RED) + 1, 2)], "d long, rgb int, n long"), real).collect()
+    assert [(r.rgb, r.n, r.to_ink) for r in dropped] == [(pack(RED) + 1, 2, 0)]
+
+
+def test_ground_and_ink_colours(spark):
+    p = picture(spark, 12, 12, lambda x, y: RED if 3 <= x < 9 and 3 <= y < 9 else CREAM).selectExpr("*", "case when r = 192 then 1 else 0 end as ink")
+    ring = score.ring_shares(p)
+    assert [(r.ink, r.ring, r["share"], r.coverage) for r in ring.where("ring > 0").collect()] == [(0, 44, 100.0, 75.0)]
+    inks = spark.createDataFrame([(0, *CREAM), (1, *RED)], "ink int, r int, g int, b int")
+    assert [tuple(r) for r in score.ground_suggestion(ring, inks, CREAM).collect()] == [(1, 0, True)] and score.ground_suggestion(ring, inks).first().matches is False
+    odd = p.withColumn("r", F.when((F.col("x") == 3) & (F.col("ink") == 1), 0).otherwise(F.col("r")))
+    assert {r.ink: r.r for r in score.ink_colours(odd).collect()} == {0: 244.0, 1: 192.0}
+    line = picture(spark, 3, 1, lambda x, y: (10 * x, 0, 0)).selectExpr("*", "0 as ink", "x = 2 as kept")
+    assert score.ink_colours(line, kept="kept").first().r == 20.0 and score.ink_colours(line).first().r == 10.0
+    both = spark.createDataFrame([("j", 1, "#aabbcc", None, 10.0), ("j", 2, "#112233", "navy", 5.0), ("j", 3, "#AABBCC", "mist", 2.5)], "owner string, place int, hex string, name string, coverage double")
+    assert [tuple(r) for r in score.swap_palette(both).orderBy("place").collect()] == [("j", 1, "#AABBCC", "mist", 12.5, 2), ("j", 2, "#112233", "navy", 5.0, 1)]
+
+
+def test_image_summary(spark):
+    s = score.image_summary(picture(spark, 20, 10, lambda x, y: (255, 255, 255) if x % 2 else (0, 0, 0))).first()
+    assert (s.width, s.height, s.colours, s.mean_lum, s.std_lum, s.gradient, s.edges, s.warnings) == (20, 10, 2, 0.5, 0.5, 0.825, 1.0, "small,broad_tones")
+
+
 def test_proof_and_package(spark):
     labels = grid(spark, ["01", "10"])
     assert screens.verify_package(labels, screens.separate(labels)).first().ok
