@@ -573,9 +573,11 @@ def test_language_model_adds_up_to_one():
         assert abs(known + unknown - 1) < 1e-9
 
 
-@pytest.mark.parametrize(("n", "a", "d"), [(50, 2.0, 0.5), (64, 5.0, 0.3), (65, 5.0, 0.3), (4000, 60.0, 0.6)])
-def test_seating_follows_the_restaurant(n, a, d):
-    """Mean tables of small and large groups against customers seated one by one."""
+@pytest.mark.parametrize(("n", "a", "d", "vast"), [(50, 2.0, 0.5, 9999), (64, 5.0, 0.3, 9999), (65, 5.0, 0.3, 9999), (4000, 60.0, 0.6, 9999), (4000, 60.0, 0.6, 100)])
+def test_seating_follows_the_restaurant(n, a, d, vast, monkeypatch):
+    """Mean tables of small, large and vast groups against customers seated one by one."""
+    monkeypatch.setattr(lm, "VAST", vast)
+    monkeypatch.setattr(lm, "BLOCK", 1000)
     rnd = np.random.default_rng(8)
     t = np.ones(3000)
     for s in range(1, n):
