@@ -38,7 +38,9 @@ def format_pairs(turns: DataFrame) -> DataFrame:
 
     ``turns`` has pair_id, chosen, turn, role, text. Turns go by turn number, then role, then text; a repeated turn counts as
     often as it stands, a null role or text is empty, and null turn numbers come first. A conversation that is a prefix of the
-    other gets an empty completion. A pair with one side only has an empty prompt and a null other side.
+    other gets an empty completion. A pair with one side only has an empty prompt and a null other side. Rows without pair_id form
+    a pair of their own; an empty table gives an empty result; other columns are ignored, whatever their names. Both conversations of a
+    pair meet in one row, so a pair of conversations is what a task must hold; texts are never cut.
     """
     turn = F.struct(F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     sides = turns.groupBy("pair_id").agg(*[F.sort_array(F.collect_list(F.when(F.col("chosen") == want, turn))).alias(name) for name, want in (("_c", True), ("_r", False))])

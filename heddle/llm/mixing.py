@@ -24,7 +24,7 @@ def targets(sources: DataFrame, times: int = 3) -> DataFrame:
     Sources weigh 1, 2, 3, repeating, in the order of their keys and share the sum of all sizes. A target stops at ``times``
     its source's size; what is over goes to the others by weight. That water level is found in one pass: sorted by cap per
     weight, the first source whose cap is not below the level of those that remain ends the capped ones.
-    The table has one row a source, so its windows are small.
+    The table has one row a source, so its windows over all sources hold as many rows as there are sources.
     """
     ranked = sources.withColumn("weight", (F.row_number().over(Window.orderBy("source_key")) - 1) % 3 + 1)
     ranked = ranked.withColumn("_cap", F.col("source_size") * times)
