@@ -117,19 +117,6 @@ def _(spark, d):
     return t.groupBy("d").agg(F.count_if("edge").alias("edges"), F.count_if("feature").alias("features"))
 
 
-@query("n10_keep_hairlines")
-def _(spark, d):
-    """Pixels of every design that a 3 x 3 median would change and that are restored as thin lines."""
-    p = X.pixels(spark, d)
-    smooth = None
-    for c in "rgb":
-        one = raster.median_filter(p, c).select("d", "x", "y", F.col("median").alias(c))
-        smooth = one if smooth is None else smooth.join(one, ["d", "x", "y"])
-    kept = reduce.keep_hairlines(p, smooth).selectExpr("d", "x", "y", "r as kr", "g as kg", "b as kb")
-    both = kept.join(smooth, ["d", "x", "y"])
-    return both.groupBy("d").agg(F.count("*").alias("pixels"), F.count_if(F.expr("kr != r or kg != g or kb != b")).alias("restored"))
-
-
 KNOWN = [("screen_cost", 1e9), ("margin_percent", 1000.0), ("gst_percent", 100.0), ("wastage_percent", 100.0)]
 SETTING = {"owner": "c_custkey", "name": "case c_custkey % 5 when 0 then 'screen_cost' when 1 then 'margin_percent' when 2 then 'gst_percent' when 3 then 'wastage_percent' else 'colour' end", "value": "c_acctbal / 50"}
 
