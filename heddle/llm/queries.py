@@ -87,7 +87,7 @@ r as (select *, source_size * 3 as cap, row_number() over (order by source_size
 l as (select *, (sum(source_size) over () - coalesce(sum(cap) over (order by n rows between unbounded preceding and 1 preceding), 0))::double / (sum(w) over () - coalesce(sum(w) over (order by n rows between unbounded preceding and 1 preceding), 0))::double as level from r),
 v as (select coalesce(arg_min(level, n), 0) as level from l where level * w <= cap),
 t as (select l.key, l.source_size, least(cap::double, v.level * w) as target from l, v),
-p as (select b.key, b.doc_id, b.size, t.source_size, t.target, b.source, xx, sum(size) over (partition by b.key order by b.h rows unbounded preceding) - size as start from (select *, 1 as xx from b) b join t on t.key = b.key)
+p as (select b.key, b.doc_id, b.size, t.source_size, t.target, b.source, xx, sum(size) over (partition by b.key order by b.h rows unbounded preceding) - size as start from (select *, 1 as xx from b) b join t on t.key = b.key),
 n as (select key, target, ceil(floor(target) / 1024)::bigint as n from t),
 f as (select key, n, sum(n) over (order by key) - n as a, sum(n) over () as total from n where n > 0),
 g as (select key, unnest(range(a::bigint, (a + n)::bigint)) as v, case when total > 1 then ceil(log2(total))::int else 0 end as bits from f),
