@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from . import tokenizer_files as files
-from .arrow import with_columns
+from .arrow import give_back, with_columns
 
 #: Encoded words in a generation of a task's memory. Two generations are kept; a word used in the younger one stays.
 REMEMBERED = 120_000
@@ -35,7 +35,8 @@ class Merges:
 
     @classmethod
     def of(cls, file: str) -> Merges:
-        model, ids = files.parsed(file)["model"], files.parsed(file)["model"]["vocab"]
+        model = files.parsed(file)["model"]
+        ids = model["vocab"]
         library, size = files.opened(file).model, max(ids.values()) + 1
         rank, first, last = np.full(size, -1, np.int64), np.arange(size), np.arange(size)
         sound, pairs = np.ones(size, bool), []
@@ -190,6 +191,7 @@ def encode(docs: DataFrame, tokenizer_path: str, text: str = "text", decoded: bo
     """
     file = files.read(tokenizer_path)
     sent = docs.sparkSession.sparkContext.broadcast((file, Merges.of(file)))
+    give_back()  # the parsed file was only needed here
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())] + [T.StructField("decoded", T.StringType())] * decoded
 
     def make():

@@ -96,19 +96,22 @@ def hashed_sample(df: DataFrame, key: Column, most: int) -> DataFrame:
 FREQUENT = 2000
 
 
-def spread_join(rows: DataFrame, facts: DataFrame, key: str, counted: str, total: int) -> DataFrame:
+def spread_join(rows: DataFrame, facts: DataFrame, key: str, counted: str, total: int, few: int = 0) -> DataFrame:
     """``rows`` joined (inner) with ``facts``, one row a ``key``, so that no task gets all rows of a frequent key.
 
     ``counted`` is a column of ``facts`` (dropped) with the number of rows that have the key. Keys of more than ``total`` / FREQUENT rows
-    are fewer than FREQUENT, so their facts are broadcast; the others are joined by a shuffle.
+    are fewer than FREQUENT, so their facts are broadcast; the others are joined by a shuffle. Up to ``few`` rows in all, which one task
+    can hold, a plain join does.
     """
+    if total <= few:
+        return rows.join(facts.drop(counted), key)
     frequent = F.col(counted) * FREQUENT > F.lit(total)
     facts = facts.withColumn("_frequent", frequent).drop(counted)
     many = F.broadcast(facts.where("_frequent").drop("_frequent").withColumn("_there", F.lit(True)))
     marked = rows.join(many, key, "left")
     names = [c for c in facts.columns if c not in (key, "_frequent")]
-    few = marked.where("_there is null").drop(*names, "_there").join(facts.where("not _frequent").drop("_frequent"), key)
-    return marked.where("_there").drop("_there").unionByName(few)
+    rest = marked.where("_there is null").drop(*names, "_there").join(facts.where("not _frequent").drop("_frequent"), key)
+    return marked.where("_there").drop("_there").unionByName(rest)
 
 
 def running(df: DataFrame, group: str, block: str, order: list[str], value: Column, out: str, most: int = 200_000) -> DataFrame:

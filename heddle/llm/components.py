@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .common import cut, spread_join
 
+#: Edges that one task can hold.
+PLAIN = 200_000
+
 
 def components(edges: DataFrame) -> DataFrame:
     """node, root: the smallest node that each node of ``edges`` (a, b) reaches; a != b, in any order, repeats allowed.
@@ -20,10 +23,10 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("_n")).select("u", F.least("u", "m").alias("m"), "_n")
-        large = spread_join(both.where("v > u"), least, "u", "_n", 2 * count).select(F.col("v").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+        large = spread_join(both.where("v > u"), least, "u", "_n", 2 * count, PLAIN).select(F.col("v").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
         large = cut(large)
         low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("_n"))
-        moved = spread_join(large, low, "a", "_n", large.count()).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
+        moved = spread_join(large, low, "a", "_n", large.count(), PLAIN).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
         e = cut(moved.unionByName(low.select("a", F.col("m").alias("b"))).distinct())
         now = tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
         if now == last or not now[0]:

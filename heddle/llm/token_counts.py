@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import tokenizer_files as files
-from .arrow import with_columns
+from .arrow import give_back, with_columns
 
 #: Counts of merged pre-tokens that a task remembers; it forgets all when full.
 REMEMBERED = 400_000
@@ -41,6 +41,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, text: str = "text", limit
     session = docs.sparkSession.sparkContext
     file = files.read(tokenizer_path)
     sent = session.broadcast((file, whole_tokens(file)))
+    give_back()  # the parsed file was only needed here
     size = T.StructField("n_bytes", T.LongType())
     fields = [size, T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())]
 
