@@ -36,6 +36,11 @@ def give_back() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` with columns c0, c1 and so on: mapInArrow looks its input columns up by name, and dots in a name mislead it."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
 def with_columns(df: DataFrame, text: str, fields: list[T.StructField], make: Callable[[], Callable[[list[str]], list[list]]], keep: list[str] | None = None) -> DataFrame:
     """``df`` (or its columns ``keep``) with ``fields`` added. Input columns of the same names give way.
 
@@ -59,4 +64,4 @@ def with_columns(df: DataFrame, text: str, fields: list[T.StructField], make: Ca
         work = batch = rows = added = part = None
         give_back()
 
-    return df.select(*[df[f"`{c}`"] for c in sent]).mapInArrow(run, schema)
+    return numbered(df.select(*[df[f"`{c}`"] for c in sent])).mapInArrow(run, schema)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, lm, mixing, ngram_join, quality, sharding, token_counts, topk, toxicity
+from . import alignment, bpe, chat, lexical, line_dedup, lm, mixing, ngram_join, quality, sharding, token_counts, topk, toxicity
 from .common import table
 
 
@@ -57,7 +57,23 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_ngram_jaccard_join, op3_mixing, op4_sharding, op5_exact_top_k, op6_toxicity, op7_bpe_round_trip, op8_chat_formatting, op9_quality_rules, op10_lm_scoring)}
+def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = alignment.align(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), keep=["doc_id"])
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "n_shared")
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = line_dedup.apply(docs, line_dedup.keep_bitmaps(docs), keep=["doc_id"])
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op13_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.top_k(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_ngram_jaccard_join, op3_mixing, op4_sharding, op5_exact_top_k, op6_toxicity, op7_bpe_round_trip, op8_chat_formatting, op9_quality_rules, op10_lm_scoring, op11_cross_tokenizer_alignment, op12_line_dedup, op13_ranked_lexical_search)}
 
 #: Words of a text, in DuckDB.
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -66,6 +82,11 @@ WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 CRC_TABLE = "(select list_transform(range(256), lambda n: list_reduce(list_prepend(n::bigint, range(8)), lambda c, k: case when c % 2 = 1 then xor(3988292384::bigint, c // 2) else c // 2 end)) as crc)"
 CRC = "xor(4294967295::bigint, list_reduce(list_prepend(4294967295::bigint, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: ('0x' || h)::bigint)), lambda c, v: xor(c // 256, crc[xor(c % 256, v) + 1])))"
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+#: Terms of a text for search.
+TERMS = rf"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
 ORACLES: dict[str, str] = {
     "op2_ngram_jaccard_join": rf"""
 with recursive w as (
@@ -128,4 +149,19 @@ j as (select n, coalesce(doc_id, 0)::hugeint as k, -1::bigint as was, -1::bigint
 e as (select n, max(b) filter (b < 8) as shard, max(b) as grown from j group by 1),
 c as (select d.n, doc_id, octet_length(encode(text)) + 1 as size, case when text = '' then 0 else {CRC} end as text_crc32, shard::int as shard, grown::int as grown_shard from d join e using (n), {CRC_TABLE} t)
 select doc_id, size, text_crc32, shard, grown_shard, 'key' as law, row_number() over (partition by shard order by substr(md5(concat_ws(':', doc_id::varchar, text_crc32::varchar)), 1, 3), doc_id nulls first, text_crc32, size) - 1 as slot from c""",
+    "op12_line_dedup": rf"""
+with d as (select row_number() over () as k, doc_id, string_split(coalesce(text, ''), chr(10)) as l from documents),
+x as (select k, doc_id, i, l[i] as line, translate(trim(l[i], {BLANKS}), '{UPPER}', '{LOWER}') as key from (select *, unnest(range(1, len(l) + 1)) as i from d)),
+m as (select key, max(doc_id) as top from x where length(key) >= 40 group by 1 having count(distinct doc_id) >= 5)
+select doc_id, count(*) as n_lines, count(*) filter (doc_id < top) as n_dropped, sha256(coalesce(string_agg(line, chr(10) order by i) filter (top is null or doc_id = top), '')) as kept_sha256
+from x left join m using (key) group by k, doc_id""",
+    "op13_ranked_lexical_search": rf"""
+with d as (select row_number() over () as k, doc_id, {TERMS} as w from documents),
+n as (select k, doc_id, w, len(w) as n from d where len(w) > 0),
+g as (select count(*) as docs, sum(n)::bigint as terms from n),
+f as (select k, term, count(*) as tf from (select k, unnest(w) as term from n) group by 1, 2),
+v as (select term, floor(1000 * ln((2 * docs + 2)::double / (2 * count(*) + 1)::double))::bigint as w from f, g group by 1, docs),
+q as (select item_id, term, count(*) as times from (select item_id, unnest({TERMS}) as term from benchmark) group by 1, 2),
+s as (select item_id, doc_id, k, sum(times * v.w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // terms))))::bigint as score from q join f using (term) join v using (term) join n using (k), g group by 1, 2, 3)
+select item_id, rank::int as rank, doc_id, score from (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from s where score > 0) z where rank <= 10""",
 }
