@@ -15,13 +15,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def toxic_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score stays under 0.5 and that no label calls toxic.
+    """Documents whose toxicity score stays under 0.5. The grammar learns from the labelled ones among them; the verdict is by text alone.
 
-    The grammar learns from the labelled ones among them. A label is a verdict on the document itself, so it goes before the score.
-    Null and empty texts match nothing and stay; all columns stay as they are.
+    Null and empty texts match nothing and stay; all columns stay as they are. An empty table, or one without labels, is judged by
+    the known insults.
     """
-    labels = table(spark, sf_dir, "labels")
-    return toxicity.clean(docs, toxicity.learn(docs, labels, holding_out=False), labels)
+    return toxicity.clean(docs, toxicity.learn(docs, table(spark, sf_dir, "labels"), holding_out=False))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
