@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrow import chunks, with_columns
-from .common import fresh, hashed_sample, small
+from .common import fresh, hashed_sample
 
 # Closed-class words of the grammar, in English, German, French and Spanish, and insults known from the start.
 TARGETS = ["you", "your", "yours", "yourself", "u", "ya", "du", "dich", "dir", "dein", "deine", "euch", "ihr", "euer", "tu", "toi", "te", "ton", "ta", "vous", "votre", "vos", "usted", "ustedes", "tú", "ti", "vosotros"]
@@ -34,6 +34,8 @@ WORDS, SIGNED = re.compile(WORD), re.compile(WORD + '|["“”„«»]')
 QUOTES = "\"“”„«»"
 #: Words that a negation reaches.
 REACH = 3
+#: How often a stem stands in a text that harps on it.
+BURST = 3
 #: Weight of a known insult while the labels say nothing of it.
 KNOWN_WEIGHT = 3.0
 #: Weights of asserted, aimed and excused matches.
@@ -122,12 +124,14 @@ def grammar_transducer() -> Transducer:
 
 @dataclass(frozen=True)
 class Grammar:
-    """Learned parts: weights of insult words and of insult stems (the first ``stem`` letters of longer words), and the final logistic layer."""
+    """Learned parts: weights of insult words, of insult stems (the first ``stem`` letters of longer words) and of stems that count in texts
+    that harp on them only, and the final logistic layer."""
 
     words: dict[str, float]
     stems: dict[str, float]
     stem: int
     layer: tuple[float, ...]  # intercept, then one weight a feature
+    bursts: dict[str, float] = field(default_factory=dict)
 
 
 class Clauses:
@@ -138,11 +142,13 @@ class Clauses:
         self.lexicon = {w: (s, 1.0) for s, group in (("T", TARGETS), ("N", NEGATIONS), ("R", REPORTS), ("H", THREATS), ("Q", QUOTES)) for w in group}
         self.lexicon |= {w: ("I", v) for w, v in grammar.words.items()}
         self.threats = frozenset(THREATS)
+        self.starts = frozenset(grammar.stems) | frozenset(grammar.bursts)
+        self.stems = grammar.stems  # those that count in the text at hand
 
     def sign(self, word: str) -> tuple[str, float]:
         """Lexical transducers: a word's sign and weight; insult words and stems go before the closed classes."""
         found = self.lexicon.get(word)
-        if (found is None or found[0] != "I") and len(word) > self.grammar.stem and (weight := self.grammar.stems.get(word[: self.grammar.stem])):
+        if (found is None or found[0] != "I") and len(word) > self.grammar.stem and (weight := self.stems.get(word[: self.grammar.stem])):
             return "I", weight
         return found or ("-", 1.0)
 
@@ -160,14 +166,18 @@ class Clauses:
 
     def suspicious(self, words: set[str]) -> bool:
         """Whether any word can start a match at all: most texts end here."""
-        stem, stems = self.grammar.stem, self.grammar.stems
-        return not words.isdisjoint(self.grammar.words) or not words.isdisjoint(self.threats) or not {w[:stem] for w in words if len(w) > stem}.isdisjoint(stems)
+        stem = self.grammar.stem
+        return not words.isdisjoint(self.grammar.words) or not words.isdisjoint(self.threats) or not {w[:stem] for w in words if len(w) > stem}.isdisjoint(self.starts)
 
     def features(self, text: str) -> tuple[float, ...]:
         """Of a whole text: log of one plus the asserted weight, the same aimed, the same excused, and clauses with an asserted match by clause."""
         lower = text.lower()
-        if not self.suspicious(set(WORDS.findall(lower))):
+        words = WORDS.findall(lower)
+        if not self.suspicious(set(words)):
             return (0.0, 0.0, 0.0, 0.0)
+        grammar = self.grammar
+        harped = {s for s in often(words, grammar.stem) if s in grammar.bursts}
+        self.stems = grammar.stems | {s: grammar.bursts[s] for s in harped} if harped else grammar.stems
         sums, hits, count = [0.0, 0.0, 0.0], 0, 0
         for clause in CLAUSE.split(lower):
             signs = [self.sign(w) for w in SIGNED.findall(clause)]
@@ -198,10 +208,15 @@ def held_out(doc_id) -> F.Column:
 UNTAUGHT = (-2.0, 2.0, 1.0, -0.5, 1.0)
 
 
+def often(words: list[str], stem: int) -> set[str]:
+    """Stems of longer words that a text harps on: they stand in it ``BURST`` times or more."""
+    return {s for s, n in Counter(w[:stem] for w in words if len(w) > stem).items() if n >= BURST}
+
+
 def terms(text: str, stem: int) -> set[str]:
-    """Distinct words of a text, marked by ``=``, and stems of its longer words."""
-    words = set(WORDS.findall(text.lower()))
-    return {f"={w}" for w in words} | {w[:stem] for w in words if len(w) > stem}
+    """Distinct words of a text, marked by ``=``, stems of its longer words, and those that it harps on, marked by ``*``."""
+    words = WORDS.findall(text.lower())
+    return {f"={w}" for w in words} | {w[:stem] for w in words if len(w) > stem} | {f"*{s}" for s in often(words, stem)}
 
 
 def term_counts(rows: DataFrame, stem: int, held: int = 400_000) -> DataFrame:
@@ -229,10 +244,12 @@ def term_counts(rows: DataFrame, stem: int, held: int = 400_000) -> DataFrame:
     return rows.mapInArrow(count, "term string, toxic int, n long").groupBy("term", "toxic").agg(F.sum("n").alias("n"))
 
 
-def lexicon(counts: DataFrame, least: float = 1.0, sure: float = 2.5) -> dict[str, float]:
+def lexicon(counts: DataFrame, least: float = 1.0, sure: float = 2.5, sure_few: float = 1.5) -> dict[str, float]:
     """Weights (log odds) of the terms whose log odds of standing in a toxic text are surely over ``least``.
 
-    Surely means: less ``sure`` standard errors, so that a few chance meetings don't make an insult. Known insults are in with
+    Surely means: less ``sure`` standard errors, so that a few chance meetings don't make an insult. A stem that a text harps on is
+    rarely there by chance, so ``sure_few`` of them do where ten texts are toxic (two that harp on one stem and no clean one suffice). The
+    more texts, the more stems get a chance: half a standard error is added for each tenfold of toxic texts, up to ``sure``. Known insults are in with
     ``KNOWN_WEIGHT`` at least, unless the labels surely speak against them. What is returned grows with the
     vocabulary of insults only, out of a bounded sample of texts.
     """
@@ -244,7 +261,9 @@ def lexicon(counts: DataFrame, least: float = 1.0, sure: float = 2.5) -> dict[st
     odds = F.log(((F.col("p") + 0.5) / F.lit(bad + 1.0)) / ((F.col("n") + 0.5) / F.lit(good + 1.0)))
     error = F.sqrt(1 / (F.col("p") + 0.5) + 1 / (F.col("n") + 0.5) - F.lit(1 / (bad + 1) + 1 / (good + 1)))
     known = F.col("term").isin([f"={w}" for w in INSULTS])
-    found = wide.where("term != ''").withColumns({"odds": odds, "error": error}).where((F.col("odds") - sure * F.col("error") >= least) | known).collect()
+    sure_burst = min(sure, max(sure_few, sure_few + 0.5 * math.log10(bad / 10)))
+    sure_of = F.when(F.col("term").startswith("*"), F.lit(sure_burst)).otherwise(F.lit(sure))
+    found = wide.where("term != ''").withColumns({"odds": odds, "error": error}).where((F.col("odds") - sure_of * F.col("error") >= least) | known).collect()
     out = {f"={w}": KNOWN_WEIGHT for w in INSULTS}
     for r in found:
         if r.term in out and r.odds + sure * r.error < 0:
@@ -266,7 +285,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, stem: i
     marks = hashed_sample(marks, F.xxhash64("doc_id"), sample_rows)
     rows = docs.select("doc_id", "text").join(F.broadcast(marks), "doc_id").select("text", "toxic")
     weights = lexicon(term_counts(rows, stem))
-    draft = Grammar({t[1:]: w for t, w in weights.items() if t[0] == "="}, {t: w for t, w in weights.items() if t[0] != "="}, stem, UNTAUGHT)
+    stems = {t: w for t, w in weights.items() if t[0] not in "=*"}
+    draft = Grammar({t[1:]: w for t, w in weights.items() if t[0] == "="}, stems, stem, UNTAUGHT, {t[1:]: w for t, w in weights.items() if t[0] == "*" and t[1:] not in stems})
     sent = docs.sparkSession.sparkContext.broadcast(draft)
 
     def make():
@@ -280,7 +300,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, stem: i
     order = np.lexsort(np.vstack([np.stack(seen["f"].to_numpy()).T, seen["toxic"].to_numpy()]))
     seen = seen.iloc[order]
     layer = fit_logistic(np.stack(seen["f"].to_numpy()), seen["toxic"].to_numpy(dtype=float), seen["count"].to_numpy(dtype=float))
-    return Grammar(draft.words, draft.stems, stem, layer)
+    return Grammar(draft.words, draft.stems, stem, layer, draft.bursts)
 
 
 def score(docs: DataFrame, grammar: Grammar, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -305,13 +325,9 @@ def score(docs: DataFrame, grammar: Grammar, text: str = "text", keep: list[str]
     return with_columns(docs, text, fields, make, keep)
 
 
-def clean(docs: DataFrame, grammar: Grammar, labels: DataFrame | None = None) -> DataFrame:
-    """The rows of ``docs`` that score under 0.5 and, with ``labels`` (doc_id, toxic), that no label calls toxic; all columns as they are."""
-    marked, label = fresh(docs, "_toxic", "_label")
-    rows = docs
-    if labels is not None:
-        known = labels.where("toxic = 1 and doc_id is not null").select(F.col("doc_id").alias(label)).distinct()
-        rows = docs.join(small(known, 500_000), docs["doc_id"] == F.col(label), "left_anti")
+def clean(docs: DataFrame, grammar: Grammar) -> DataFrame:
+    """The rows of ``docs`` that score under 0.5; all columns as they are, whatever their names."""
+    (marked,) = fresh(docs, "_toxic")
     sent = docs.sparkSession.sparkContext.broadcast(grammar)
 
     def make():
@@ -319,4 +335,4 @@ def clean(docs: DataFrame, grammar: Grammar, labels: DataFrame | None = None) ->
         w = sent.value.layer
         return lambda texts: [[w[0] + sum(a * b for a, b in zip(w[1:], clauses.features(x), strict=True)) >= 0 for x in texts]]
 
-    return with_columns(rows, "text", [T.StructField(marked, T.BooleanType())], make).where(~F.col(marked)).select(docs.columns)
+    return with_columns(docs, "text", [T.StructField(marked, T.BooleanType())], make).where(~F.col(marked)).select(docs.columns)
