@@ -49,7 +49,16 @@ def written(df: DataFrame) -> DataFrame:
     """The same rows as a Parquet table in the shared folder: smaller than a checkpoint and read by column."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/heddle-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    out = df.sparkSession.read.parquet(path)
+    out._heddle_path = path
+    return out
+
+
+def done(*tables: DataFrame) -> None:
+    """Deletes tables of ``written`` that nothing reads any more: whatever was made of them must be written by now."""
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table._heddle_path)
+        path.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
@@ -114,6 +123,19 @@ def spread_join(rows: DataFrame, facts: DataFrame, key: str, counted: str, total
     return marked.where("_there").drop("_there").unionByName(rest)
 
 
+def salted_join(rows: DataFrame, facts: DataFrame, key: str, salt: Column, each: int, total: int) -> DataFrame:
+    """``rows`` joined (inner) with ``facts``, one wide row a ``key``, so that no task gets all rows of a frequent key.
+
+    Keys of more than ``total`` / FREQUENT rows, fewer than FREQUENT, are counted and their rows dealt by ``salt`` into parts of about ``each`` rows;
+    their facts are copied to each part. Only key and number of parts are broadcast, so facts may be of any width.
+    """
+    counts = rows.groupBy(key).agg(F.count("*").alias("_n")).where((F.col("_n") * FREQUENT > F.lit(total)) & (F.col("_n") > each))
+    parts = small(counts.select(key, F.ceil(F.col("_n") / each).cast("int").alias("_parts")), FREQUENT)
+    dealt = rows.join(parts, key, "left").withColumn("_part", F.when(F.col("_parts").isNull(), 0).otherwise(F.pmod(salt, F.col("_parts"))).cast("int")).drop("_parts")
+    copied = facts.join(parts, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    return dealt.join(copied, [key, "_part"]).drop("_part")
+
+
 def running(df: DataFrame, group: str, block: str, order: list[str], value: Column, out: str, most: int = 200_000) -> DataFrame:
     """Sum of ``value`` over the rows that come before, in each ``group`` by ``block`` and then ``order``.
 

@@ -22,13 +22,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrow import with_columns
-from .common import cut, fresh, small, spread_join, written
+from .common import cut, done, fresh, salted_join, small, spread_join, written
 from .components import components
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 REMEMBERED = 120_000
 #: Fragments in which overlaps are counted.
 PARTS = 4
+#: Pairs of one set that a task compares, about.
+EACH = 4096
 #: Ratio of the bounds of size classes.
 CLASS_RATIO = 1.4
 
@@ -218,10 +220,14 @@ def linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     common: Column = F.size(F.array_intersect("p0_a", "p0_b"))
     low, high = F.least("size_a", "size_b"), F.greatest("size_a", "size_b")
     room = F.floor((F.col("size_a") + F.col("size_b")) * (den - num) / F.lit(den + num)) + 1  # one over, against rounding
-    near = pairs.join(left, "a").join(right, "b").where((den * low >= num * high) & (F.size("p0_a") + F.size("p0_b") - 2 * common <= room))
+    total = pairs.count()
+    met = salted_join(salted_join(pairs, left, "a", F.xxhash64("b"), EACH, total), right, "b", F.xxhash64("a"), EACH, total)
+    near = met.where((den * low >= num * high) & (F.size("p0_a") + F.size("p0_b") - 2 * common <= room))
     near = near.select("a", "b", F.col("size_a").alias("x"), F.col("size_b").alias("y"), common.alias("o"))
     rest_a, rest_b = [sets.select(F.col("set_id").alias(x), F.col("rest").alias(f"rest_{x}")) for x in ("a", "b")]
-    both = near.join(rest_a, "a").join(rest_b, "b")
+    near = cut(near)
+    total = near.count()
+    both = salted_join(salted_join(near, rest_a, "a", F.xxhash64("b"), EACH, total), rest_b, "b", F.xxhash64("a"), EACH, total)
     partial = F.zip_with("rest_a", "rest_b", lambda p, q: F.size(F.array_intersect(p, q)))
     overlap = F.col("o") + F.aggregate(partial, F.lit(0), lambda s, p: s + p)
     return both.withColumn("o", overlap).where(den * F.col("o") >= num * (F.col("x") + F.col("y") - F.col("o"))).select("a", "b")
@@ -303,13 +309,16 @@ def classes(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     signed = written(signed_sets(docs, n, num, den))
     grouped = signed.where("set_id is not null and doc_id is not null").groupBy("set_id")
     sets = cut(grouped.agg(F.min(F.struct("doc_id", "key")).alias("first"), F.max("spare_0").alias("spare_0"), F.max("spare_1").alias("spare_1"), F.count("*").alias("n_docs")))
-    members = written(rarest(written(bucket_members(signed.where("doc_id is not null"))), sets.select("set_id", "spare_0", "spare_1")))
+    shared = written(bucket_members(signed.where("doc_id is not null")))
+    members = written(rarest(shared, sets.select("set_id", "spare_0", "spare_1")))
+    done(shared)
     wanted = cut(members.select("set_id").distinct().join(sets.select("set_id", "first.doc_id"), "set_id"))
     hashes = written(shingle_sets(docs, wanted, n))
     pairs = members.where("set_id != first").select(F.col("first").alias("a"), F.col("set_id").alias("b")).distinct()
     links = cut(linked(pairs, hashes, num, den))
     labels = components(links)
     more = cut(rest_of_buckets(members, labels, hashes, num, den))
+    done(members, hashes)
     if more.limit(1).count():
         labels = components(labels.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
     named = sets.select("set_id", "first", "n_docs").join(labels.withColumnRenamed("node", "set_id"), "set_id", "left")
