@@ -448,15 +448,28 @@ def test_composed_transducer():
 
 
 def test_toxicity_held_out(spark):
-    """Precision and recall on held-out rows, where texts of the language hold marks at all: invented English prose with planted insults."""
+    """Precision and recall on held-out rows of all languages."""
     sf = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
-    got = toxicity.score(docs.where("lang = 'en'"), toxicity.learn(docs, labels), keep=["doc_id"]).join(labels, "doc_id").where(toxicity.held_out(labels.doc_id))
+    got = toxicity.score(docs, toxicity.learn(docs, labels), keep=["doc_id"]).join(labels, "doc_id").where(toxicity.held_out(labels.doc_id))
     rows = got.groupBy("toxic", "predicted").count().collect()
     n = {(r.toxic, r.predicted): r["count"] for r in rows}
     assert n[1, 1] >= 0.85 * (n[1, 1] + n.get((1, 0), 0)) and n[1, 1] >= 0.95 * (n[1, 1] + n.get((0, 1), 0))
 
 
+def test_toxicity_of_texts_that_harp_on_a_stem(spark):
+    """Few labels: two toxic texts that harp on one stem teach it; clean texts that have it once stay clean."""
+    filler = [" ".join(f"w{i}x{j}" for j in range(40)) for i in range(80)]
+    toxic = ["zarkonian zarkonist zarkonly " + filler[k] for k in range(2)] + [f"you idiot {filler[k]}" for k in range(2, 8)]
+    clean = [f"zarkonian {filler[k]}" for k in range(8, 11)] + filler[11:80]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(toxic + clean)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 8)) for i in range(80)], "doc_id long, toxic int")
+    grammar = toxicity.learn(docs, labels, holding_out=False)
+    assert "zarko" in grammar.bursts and "zarko" not in grammar.stems
+    left = {r.doc_id for r in toxicity.clean(docs, grammar).collect()}
+    assert left == set(range(8, 80))
+
+
 def test_toxicity_without_labels(spark, docs):
     labels = spark.createDataFrame([(1, None), (None, 1)], "doc_id long, toxic int")
     grammar = toxicity.learn(docs, labels)
@@ -543,6 +556,47 @@ def test_language_model(spark, docs, rows, empty):
     assert lm.score(empty).count() == 0
 
 
+def test_language_model_on_gibberish_and_prose(spark):
+    """Texts of invented words score under all prose; held-out texts of known words only beat the unigram base."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    rnd = random.Random(1)
+    junk = [(10_000_000 + i, " ".join("".join(rnd.choice("abcdefghij") for _ in range(14)) for _ in range(150))) for i in range(12)]
+    vocabulary = set().union(*(WORD.findall(lower(r.text or "")) for r in docs.collect() if zlib.crc32(str(r.doc_id).encode()) % 7 != 2))
+    known = {r.doc_id: [w for w in WORD.findall(lower(r.text or "")) if w in vocabulary] for r in docs.collect() if zlib.crc32(str(r.doc_id).encode()) % 7 == 2}
+    first = next(n for n in itertools.count(20_000_000) if zlib.crc32(str(n).encode()) % 7 == 2)
+    held = [n for n in range(first, first + 2000) if zlib.crc32(str(n).encode()) % 7 == 2]
+    junk = [(held[-1 - i], t) for i, (_, t) in enumerate(junk)]
+    prose = [(held[i], " ".join(w)) for i, (_, w) in enumerate(sorted(known.items())) if len(w) >= 20]
+    got = {r.doc_id: r for r in lm.score(docs.unionByName(spark.createDataFrame(junk + prose, "doc_id long, text string"))).collect()}
+    rate = lambda i: got[i].score / got[i].n_tokens
+    assert all(got[i].n_known <= 1 for i, _ in junk) and all(got[i].n_known == got[i].n_tokens for i, _ in prose)
+    assert max(rate(i) for i, _ in junk) < min(rate(i) for i, _ in prose)
+    assert sum(got[i].score for i, _ in prose) > sum(got[i].base_score for i, _ in prose)
+
+
+def test_frequent_words_are_named_by_share(spark):
+    """Words of a share or more of all tokens, however the texts are dealt, and short stretches name no lasting words."""
+    rnd = random.Random(2)
+    texts = [" ".join(f"w{min(int(rnd.expovariate(0.08)), 200)}" for _ in range(rnd.randint(1, 40))) for _ in range(300)]
+    n = collections.Counter(w.encode() for t in texts for w in t.split()) + collections.Counter({lm.END: len(texts)})
+    want = {w for w, k in n.items() if 50 * k >= n.total()} - {lm.END}
+    for parts in (1, 60):
+        found = lm.frequent_words(spark.createDataFrame([(t,) for t in texts], "text string").repartition(parts), 50)
+        assert set(found) - {lm.END} == want
+
+
+def test_strengths():
+    """The fitted strength of seatings drawn with a known one."""
+    rnd = np.random.default_rng(5)
+    for strength, d in ((0.5, 0.3), (8.0, 0.3), (40.0, 0.6)):
+        c = np.full(200, 400.0)
+        t = np.ones(200)
+        for s in range(1, 400):
+            t += rnd.random(200) < (strength + d * t) / (s + strength)
+        assert abs(math.log(lm.strength_of(c, t, d) / strength)) < 0.25
+    assert abs(lm.digamma(1.0) + 0.5772156649) < 1e-8
+
+
 def test_language_model_keeps_odd_ids_apart(spark):
     rows = [(None, "one two three four"), (-1, "one two three four"), (0, "one two three four"), (5, "one two three four")]
     got = lm.score(spark.createDataFrame(rows, "doc_id long, text string"), kept_words=0).collect()
@@ -558,7 +612,7 @@ def test_language_model_is_the_same_in_any_layout(spark, docs):
 
 
 def test_language_model_adds_up_to_one():
-    model = lm.Model(3, (0.4, 0.5), 0.5)
+    model = lm.Model(3, (0.4, 0.5), (0.7, 1.3))
     customers = np.array([7.0, 2.0])
     word, owner = np.arange(3), np.array([0, 0, 1, 2])
     context, n = np.array([0, 1, 0, 1]), np.array([4, 1, 3, 1])
@@ -569,7 +623,7 @@ def test_language_model_adds_up_to_one():
     for g in range(2):
         seats = [(n[(owner == w) & (context == g)].sum(), tables[(owner == w) & (context == g)].sum()) for w in range(3)]
         known = sum(model.predict(np.array([g]), s, t, base[w], totals)[0] for w, (s, t) in enumerate(seats))
-        unknown = model.predict(np.array([g]), 0, 0, model.parent(0, 0, totals, known=False), totals)[0]
+        unknown = model.predict(np.array([g]), 0, 0, model.parent(0, 0, totals), totals)[0]
         assert abs(known + unknown - 1) < 1e-9
 
 
@@ -589,14 +643,14 @@ def test_seating_follows_the_restaurant(n, a, d, vast, monkeypatch):
     assert (lm.open_tables(np.full(3000, n), np.full(3000, a), d, keys)[::-1] == lm.open_tables(np.full(3000, n), np.full(3000, a), d, keys[::-1])).all()
 
 
-def chinese_restaurants(pairs, vocabulary, places, discounts, rounds):
+def chinese_restaurants(pairs, vocabulary, places, discounts, strengths, rounds):
     """Predictive probabilities by brute force: every customer stands up and sits down again, by word, context and table."""
-    rnd, (d0, d1) = random.Random(6), discounts
+    rnd, (d0, d1), (s0, s1) = random.Random(6), discounts, strengths
     seats, parent = collections.defaultdict(list), collections.defaultdict(list)  # customers at each table
 
     def above(w):
         ts, customers = parent[w], sum(sum(x) for x in parent.values())
-        return (sum(ts) - d0 * len(ts) + (1 + d0 * sum(map(len, parent.values()))) * 0.5 / vocabulary) / (customers + 1)
+        return (sum(ts) - d0 * len(ts) + (s0 + d0 * sum(map(len, parent.values()))) / (vocabulary + 1)) / (customers + s0)
 
     def sit(tables, d, new):
         odds = [c - d for c in tables] + [new]
@@ -621,13 +675,13 @@ def chinese_restaurants(pairs, vocabulary, places, discounts, rounds):
             if turn and leave(seats[w, c]):
                 leave(parent[w])
             opened = sum(len(x) for (_, k), x in seats.items() if k == c)
-            if sit(seats[w, c], d1, (1 + d1 * opened) * above(w)):
-                sit(parent[w], d0, (1 + d0 * sum(map(len, parent.values()))) * 0.5 / vocabulary)
+            if sit(seats[w, c], d1, (s1 + d1 * opened) * above(w)):
+                sit(parent[w], d0, (s0 + d0 * sum(map(len, parent.values()))) / (vocabulary + 1))
         if turn >= rounds // 3:
             for w in range(vocabulary):
                 for c in range(places):
                     x, opened, customers = seats[w, c], sum(len(x) for (_, k), x in seats.items() if k == c), sum(k == c for _, k in pairs)
-                    mean[w, c] += (sum(x) - d1 * len(x) + (1 + d1 * opened) * above(w)) / (customers + 1) / (rounds - rounds // 3)
+                    mean[w, c] += (sum(x) - d1 * len(x) + (s1 + d1 * opened) * above(w)) / (customers + s1) / (rounds - rounds // 3)
     return mean
 
 
@@ -638,7 +692,7 @@ def test_sweeps_against_brute_force(spark):
     c = collections.Counter(pairs)
     rows = [(w, [(k, c[w, k]) for k in range(3) if c[w, k]], sum(c[w, k] for k in range(3))) for w in sorted({w for w, _ in pairs})]
     model, table = lm.fit(spark.createDataFrame(rows, "word long, seats array<struct<context:int,n:long>>, n long"), 3, 4, 12)
-    want = chinese_restaurants(pairs, len(rows), 3, model.discounts, 240)
+    want = chinese_restaurants(pairs, len(rows), 3, model.discounts, model.strengths, 240)
     factors = lm.back_off(model, 3, 12)
     worst = 0
     for r in table.collect():
