@@ -79,12 +79,16 @@ def edge_share(labels: DataFrame) -> DataFrame:
     return rows.groupBy("d").agg(F.round(100 * F.avg(step.cast("double")), 4).alias("edge_share"))
 
 
+def mode_of(cells: list[str]) -> Column:
+    """The commonest of a few ink columns (-1 to 4093, null: missing), the lowest on a tie: each cell's votes are compared as numbers."""
+    votes = lambda c: sum((F.coalesce((F.col(c) == F.col(o)).cast("int"), F.lit(0)) for o in cells), F.lit(0))
+    best = F.greatest(*[F.when(F.col(c).isNotNull(), votes(c) * 4096 + (4094 - F.col(c))) for c in cells])
+    return (4094 - best % 4096).cast("int")
+
+
 def mode_filter(labels: DataFrame) -> DataFrame:
     """Majority of the 3 x 3 window; the lowest ink wins a tie, windows are cut at the edge."""
-    cells = neighbours(labels).withColumn("_c", F.array("ink", *AROUND))
-    inks = F.array_sort(F.array_distinct(F.filter("_c", lambda v: v.isNotNull())))
-    votes = F.transform(inks, lambda i: F.struct((-F.size(F.filter("_c", lambda v: v == i))).alias("votes"), i.alias("ink")))
-    return cells.select("d", "x", "y", "ink", F.array_min(votes)["ink"].alias("mode"))
+    return neighbours(labels).select("d", "x", "y", "ink", mode_of(["ink", *AROUND]).alias("mode"))
 
 
 def median_filter(pixels: DataFrame, channel: str = "r") -> DataFrame:

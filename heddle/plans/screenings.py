@@ -86,7 +86,7 @@ def _(spark, d):
     return S.region_fill(lines.join(ref_labels(spark, d), ["d", "x", "y"]).select("d", "region", "ink"))
 
 
-@query("a21_strip_coverage", f"select d, x * 8 // (w + 1) as strip, round(avg(r / 255.0::double), 4) as tone from (select *, max(x) over (partition by d) as w from {X.PIXELS} p) q group by 1, 2")
+@query("a21_strip_coverage", f"select d, x * 8 // (w + 1) as strip, round(sum(r)::bigint / (255.0::double * count(*)), 4) as tone from (select *, max(x) over (partition by d) as w from {X.PIXELS} p) q group by 1, 2")
 def _(spark, d):
     return S.strip_coverage(X.pixels(spark, d))
 
