@@ -7,8 +7,8 @@ import tempfile
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A node is busy from this share of all edges on, so at most so many nodes are.
-BUSY = 2000
+#: A node is busy from this share of all edges on, so at most so many nodes are. Up to ``PLAIN`` rows, which one task can hold, none is.
+BUSY, PLAIN = 2000, 200_000
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -25,6 +25,8 @@ def cut(df: DataFrame) -> DataFrame:
 def joined(rows: DataFrame, facts: DataFrame, key: str, total: int) -> DataFrame:
     """``rows`` joined with ``facts`` (key, m, k: how many of the ``total`` rows have it): facts of the few busy keys are broadcast, so that no task
     gets all rows of one."""
+    if total <= PLAIN:
+        return rows.join(facts.select(key, "m"), key)
     busy = F.col("k") * BUSY > F.lit(total)
     many = F.broadcast(facts.where(busy).select(key, F.col("m").alias("_b")))
     marked = rows.join(many, key, "left")

@@ -147,9 +147,9 @@ def _(spark, d):
 with e as materialized (select d, inki, inkj, de from {PAIRS} q),
 near as (select d, ink, min(de) as extra from (select d, inki as ink, de from e union all select d, inkj, de from e) z group by 1, 2)
 select t.d, t.ink, round(coverage, 4) as coverage, round(extra, 4) as extra, round(extra, 6) >= 5 as kept
-from (select d, ink, 100 * n / sum(n) over (partition by d) as coverage from {TOP} q) t join near on near.d = t.d and near.ink = t.ink where coverage < 4""")
+from (select d, ink, 100 * n / sum(n) over (partition by d) as coverage from {TOP} q) t join near on near.d = t.d and near.ink = t.ink where coverage < 10""")
 def _(spark, d):
-    return P.small_inks(top_inks(spark, d), 4.0)
+    return P.small_inks(top_inks(spark, d), 10.0)
 
 
 @query("k9_merge_stray", f"""

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..operators import palette as P
 from ..operators import raster as R
-from ..operators import regions as G
 from ..operators import score as C
 from . import fixtures as X
 from .palettes import REF, ref_labels
@@ -145,24 +144,6 @@ def _(spark, d):
     return R.runs(X.labels(spark, d)).groupBy("d", "ink").agg(F.count("*").alias("runs"), F.sum(F.expr("x1 - x0 + 1")).alias("pixels"), F.max(F.expr("x1 - x0 + 1")).alias("longest"))
 
 
-@query("n14_components")
-def _(spark, d):
-    return G.regions(X.labels(spark, d))
-
-
-@query("n15_speck_report")
-def _(spark, d):
-    return G.speck_report(G.regions(X.labels(spark, d)), 4)
-
-
-@query("n16_clean_specks")
-def _(spark, d):
-    """Pixels that change hands when islands of one or two pixels go to their surroundings, in one pass."""
-    labels = X.labels(spark, d)
-    after = G.clean_specks(labels, 2, passes=1).withColumnRenamed("ink", "to")
-    return labels.join(after, ["d", "x", "y"]).groupBy("d", "ink", "to").agg(F.count("*").alias("n"))
-
-
 JOINED = f"(select l.d, l.x, l.y, l.ink as a, r.ink as b from {X.LABELS} l join {REF} r on l.d = r.d and l.x = r.x and l.y = r.y)"
 
 

@@ -78,14 +78,6 @@ def _(spark, d):
     return S.repaint(X.labels(spark, d).groupBy("d", "ink").agg(F.count("*").alias("n")), mapping)
 
 
-@query("n23_region_fill", f"""
-with v as (select l.d, l.y as region, r.ink, count(*) as n from {X.LABELS} l join {REF} r on l.d = r.d and l.x = r.x and l.y = r.y where l.ink > 0 and r.ink >= 0 group by 1, 2, 3)
-select d, region, ink, area::bigint as area, round(n / area, 4) as purity, n / area < 0.6 as doubtful from (select *, sum(n) over (partition by d, region) as area, row_number() over (partition by d, region order by n desc, ink) as rn from v) z where rn = 1""")
-def _(spark, d):
-    lines = X.labels(spark, d).where("ink > 0").selectExpr("d", "x", "y", "y as region")
-    return S.region_fill(lines.join(ref_labels(spark, d), ["d", "x", "y"]).select("d", "region", "ink"))
-
-
 @query("a21_strip_coverage", f"select d, x * 8 // (w + 1) as strip, round(sum(r)::bigint / (255.0::double * count(*)), 4) as tone from (select *, max(x) over (partition by d) as w from {X.PIXELS} p) q group by 1, 2")
 def _(spark, d):
     return S.strip_coverage(X.pixels(spark, d))
