@@ -96,6 +96,14 @@ def similar_inks(inks: DataFrame, threshold: float = 5.0, most: int = 3) -> Data
     return near.select("d", "rank", F.when(first, F.col("inki")).otherwise(F.col("inkj")).alias("keep"), F.when(first, F.col("inkj")).otherwise(F.col("inki")).alias("drop"), F.round("de", 4).alias("de"))
 
 
+def shelf_pairs(inks: DataFrame, shelf: DataFrame, within: float) -> DataFrame:
+    """d, ink, key, name, de of each ink and each shelf ink at most ``within`` (CIEDE2000) apart. Distinct colours meet the shelf once; it is
+    bounded (500 inks), so it is broadcast."""
+    s = layers.add(shelf, colour.lab("s", "sr", "sg", "sb")).select("key", "name", "lls", "aas", "bbs")
+    pairs = layers.add(with_lab(inks.select("rgb").distinct()).select("rgb", "ll", "aa", "bb").crossJoin(F.broadcast(s)), colour.de2000("", "s"))
+    return inks.join(pairs.where(F.col("de") <= within).select("rgb", "key", "name", "de"), "rgb").select("d", "ink", "key", "name", "de")
+
+
 def match_shelf(inks: DataFrame, shelf: DataFrame) -> DataFrame:
     """Each ink's nearest shelf ink by CIEDE2000, the lower name and key on a tie, with a tone: same to 1, close to 5, else far.
 

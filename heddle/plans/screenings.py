@@ -9,7 +9,7 @@ from ..operators import palette as P
 from ..operators import score as C
 from ..operators import screens as S
 from . import fixtures as X
-from .palettes import COUNTS, LAB, NEAREST, REF, TOP, TOP_LAB, ref_labels, top_inks
+from .palettes import COUNTS, LAB, NEAREST, REF, TOP, TOP_LAB, ref_labels, shelf, top_inks
 from .registry import query
 
 SOFT = f"(select d, x, y, unnest(case when cp between 97 and 122 then [1, 2] else [0] end) as screen, case when cp = 32 then 255 else cp end as alpha from {X.CHARS} c)"
@@ -114,5 +114,5 @@ def _(spark, d):
 
 @query("j3_swap_plan")
 def _(spark, d):
-    pairs = P.palette_pairs(top_inks(spark, d)).selectExpr("d", "inki as ink", "inkj as shelf", "round(de, 6) as de")
-    return S.swap_plan(pairs.where("ink < 4 and shelf >= 4"))
+    """Shelf inks of ``part`` that can stand in for the inks of every design, within a difference of 5, one for one."""
+    return S.swap_plan(P.shelf_pairs(top_inks(spark, d), shelf(spark, d), 5.0).select("d", "ink", F.col("key").alias("shelf"), F.round("de", 6).alias("de")))

@@ -50,9 +50,30 @@ def test_query_agrees_with_sql(spark, duck, name):
     assert plain(got.select(columns).collect()) == plain([tuple(r[i] for i in order) for r in want.fetchall()])
 
 
+def pixel_count(rows, column):
+    """All rows together count each pixel of the smallest tables once."""
+    return sum(r[column] for r in rows) == PIXELS
+
+
+PIXELS = sum(len(t or "") for (t,) in duckdb.sql(f"select text from '{SF}/documents.parquet'").fetchall())
+#: What holds of the rows of queries that SQL can't check.
+HOLDS = {
+    "k3_merge_to": lambda rows: all(sum(r.d == d for r in rows) <= 4 for d in {r.d for r in rows}),
+    "k11_merge_twins": lambda rows: all(sorted(int(i) for r in rows if r.d == d for i in r.inks.split(",")) == list(range(sum(len(r.inks.split(",")) for r in rows if r.d == d))) for d in {r.d for r in rows}),
+    "k5_reduce": lambda rows: pixel_count(rows, "pixels") and max(r.ink for r in rows) <= 3 and all((r.r is None) == (r.ink < 0) for r in rows),
+    "k4_feature_inks": lambda rows: 0 < sum(r.features for r in rows) < sum(r.edges for r in rows) <= PIXELS,
+    "n27_melt_grain": lambda rows: pixel_count(rows, "n") and all(r.ink != -1 or r.to == -1 for r in rows) and any(r.ink != r.to for r in rows),
+    "n28_shape_groups": lambda rows: all(r.areas > 0 for r in rows) and {r.d for r in rows} == {r.d for r in rows if r.letter == "A"},
+    "n21_repeat_lattice": lambda rows: all((r.type in ("straight", "half-drop")) == (r.w is not None and r.h is not None) for r in rows),
+    "k26_solve_tones": lambda rows: all(len(r.tones) == 6 and 0 <= min(r.tones) <= max(r.tones) <= 1 for r in rows) and all(r.back == r.rgb for r in rows if r.rgb == 0xFFFFFF),
+    "j3_swap_plan": lambda rows: all(r.de <= 5 for r in rows) and len({(r.d, r.ink) for r in rows}) == len({(r.d, r.shelf) for r in rows}) == len(rows) > 0,
+}
+
+
 @pytest.mark.parametrize("name", sorted(set(plans.QUERIES) - set(plans.SQL)))
-def test_query_runs(spark, name):
-    assert plans.QUERIES[name](spark, SF).count() >= 0
+def test_query_holds(spark, name):
+    rows = plans.QUERIES[name](spark, SF).collect()
+    assert HOLDS.get(name, len)(rows) or name not in HOLDS
 
 
 # published pairs of the CIEDE2000 difference
