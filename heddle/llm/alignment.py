@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -79,6 +80,15 @@ def product(a: Csr, b: Csr) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return keys // max(b.width, 1), keys % max(b.width, 1), np.diff(np.append(at, len(new)))
 
 
+class Words(Encoder):
+    """The byte-level encoder with exact merges for every new word: where words aren't decoded again, that costs less than to propose and test."""
+
+    def learn(self, words: list[str], plain: bool) -> None:
+        known, tokenize = self.young[plain], self.model.tokenize
+        for word in words:
+            known[word] = array("I", [t.id for t in tokenize(files.signs(word) if plain else word)]).tobytes()
+
+
 class Pieces:
     """Encodes texts as a sentencepiece model does, word by word with a memory.
 
@@ -93,11 +103,11 @@ class Pieces:
         self.bytes = [bytes([int(name[3:5], 16)]) if self.library.is_byte(i) else name.replace(SPACE, " ").encode() for i, name in enumerate(names)]
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.blank = np.array([self.library.piece_to_id(SPACE)], "<u4").tobytes()
+        self.blank = array("I", [self.library.piece_to_id(SPACE)]).tobytes()
 
     def packed(self, words: list[str]) -> list[bytes]:
         """Ids of each word, which begins with one space at least, as little-endian unsigned 32-bit integers."""
-        return [np.array(ids, "<u4").tobytes() if ids else self.blank for ids in self.library.encode([w[1:] for w in words], num_threads=1)]
+        return [array("I", ids).tobytes() if ids else self.blank for ids in self.library.encode([w[1:] for w in words], num_threads=1)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text that begins with one space more than the text itself; the model adds that space."""
@@ -132,7 +142,7 @@ class Aligner:
     """Aligns texts in the tokens of a byte-level file (A) and of a sentencepiece model (B)."""
 
     def __init__(self, file: str, merges: Merges, model: bytes):
-        self.a, self.b = Encoder(file, merges), Pieces(model)
+        self.a, self.b = Words(file, merges), Pieces(model)
         self.a.cutter.special = None  # special strings inside a text are plain text
         known = files.parsed(file)["model"]["vocab"] | self.a.cutter.special_ids
         strings = {i: bytes(files.TO_BYTES.get(c, 0) for c in s) for s, i in known.items()}

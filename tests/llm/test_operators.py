@@ -708,5 +708,5 @@ def test_sweeps_before_samples():
 
 
 def test_registered():
-    names = [f"op{n}_" for n in range(1, 11)]
+    names = [f"op{n}_" for n in range(1, 14)]
     assert all(sum(q.startswith(n) for q in queries.QUERIES) == 1 for n in names)
