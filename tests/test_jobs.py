@@ -531,10 +531,13 @@ def test_proof_and_package(spark):
     assert screens.overlap(screens.separate(labels)).first().exclusive
 
 
-def test_graph(spark):
-    edges = spark.createDataFrame([(k, k + 1) for k in range(50)] + [(100, 200)], "a long, b long")
+@pytest.mark.parametrize("plain", [graph.PLAIN, 0])
+def test_graph(spark, plain, monkeypatch):
+    """With one node of many edges, by plain joins and by broadcasts of busy nodes."""
+    monkeypatch.setattr(graph, "PLAIN", plain)
+    edges = spark.createDataFrame([(k, k + 1) for k in range(20)] + [(100, 200)] + [(500, 501 + k) for k in range(300)], "a long, b long")
     got = {r.node: r.root for r in graph.components(edges).collect()}
-    assert got[50] == 0 and got[200] == 100 and len(got) == 53
+    assert got[20] == 0 and got[200] == 100 and got[800] == 500 and len(got) == 21 + 2 + 301
 
 
 def test_fixture_covers_whole_texts(spark):
