@@ -56,6 +56,7 @@ def pixel_count(rows, column):
 
 
 PIXELS = sum(len(t or "") for (t,) in duckdb.sql(f"select text from '{SF}/documents.parquet'").fetchall())
+OPAQUE = sum(len((t or "").replace("!", "")) for (t,) in duckdb.sql(f"select text from '{SF}/documents.parquet'").fetchall())
 #: What holds of the rows of queries that SQL can't check.
 HOLDS = {
     "k3_merge_to": lambda rows: all(sum(r.d == d for r in rows) <= 4 for d in {r.d for r in rows}),
@@ -66,6 +67,9 @@ HOLDS = {
     "n28_shape_groups": lambda rows: all(r.areas > 0 for r in rows) and {r.d for r in rows} == {r.d for r in rows if r.letter == "A"},
     "n21_repeat_lattice": lambda rows: all((r.type in ("straight", "half-drop")) == (r.w is not None and r.h is not None) for r in rows),
     "k26_solve_tones": lambda rows: all(len(r.tones) == 6 and 0 <= min(r.tones) <= max(r.tones) <= 1 for r in rows) and all(r.back == r.rgb for r in rows if r.rgb == 0xFFFFFF),
+    "k10_similar_small": lambda rows: len({(r.d, r.ink) for r in rows}) == len(rows) > 0 and {(r.d, r.joins) for r in rows} <= {(r.d, r.ink) for r in rows if r.joins == r.ink},
+    "k10_merge_shades": lambda rows: len({(r.d, r.ink) for r in rows}) == len(rows) > 0 and {(r.d, r.joins) for r in rows} <= {(r.d, r.ink) for r in rows if r.joins == r.ink},
+    "k13_ref_palette": lambda rows: sum(r.n for r in rows) == OPAQUE and all(r.ink <= 4 for r in rows) and all(0 <= c <= 255 for r in rows for c in (r.r, r.g, r.b)),
     "j3_swap_plan": lambda rows: all(r.de <= 5 for r in rows) and len({(r.d, r.ink) for r in rows}) == len({(r.d, r.shelf) for r in rows}) == len(rows) > 0,
 }
 
