@@ -69,6 +69,7 @@ HOLDS = {
     "k26_solve_tones": lambda rows: all(len(r.tones) == 6 and 0 <= min(r.tones) <= max(r.tones) <= 1 for r in rows) and all(r.back == r.rgb for r in rows if r.rgb == 0xFFFFFF),
     "k10_similar_small": lambda rows: len({(r.d, r.ink) for r in rows}) == len(rows) > 0 and {(r.d, r.joins) for r in rows} <= {(r.d, r.ink) for r in rows if r.joins == r.ink},
     "k10_merge_shades": lambda rows: len({(r.d, r.ink) for r in rows}) == len(rows) > 0 and {(r.d, r.joins) for r in rows} <= {(r.d, r.ink) for r in rows if r.joins == r.ink},
+    "k27_candidate_inks": lambda rows: {r.method for r in rows} == {"hue", "vivid"} and all(r.ink < 6 for r in rows) and len({(r.d, r.method, r.rgb) for r in rows}) == len(rows),
     "k13_ref_palette": lambda rows: sum(r.n for r in rows) == OPAQUE and all(r.ink <= 4 for r in rows) and all(0 <= c <= 255 for r in rows for c in (r.r, r.g, r.b)),
     "j3_swap_plan": lambda rows: all(r.de <= 5 for r in rows) and len({(r.d, r.ink) for r in rows}) == len({(r.d, r.shelf) for r in rows}) == len(rows) > 0,
 }
