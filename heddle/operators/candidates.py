@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import colour
+from .graph import cut
 from .palette import with_lab
 from .reduce import spread
 
@@ -21,7 +22,8 @@ APART, BARE = 28, 252.0
 
 def shaded(counts: DataFrame) -> DataFrame:
     """Distinct colours (d, rgb, n) that are not paper, with r, g, b, ll and chroma, and hue in turns from 0 to 1."""
-    t = with_lab(counts.select("d", "rgb", "n")).selectExpr("d", "rgb", "n", "r", "g", "b", "ll", "round(sqrt(aa * aa + bb * bb), 6) as chroma", f"round((atan2(bb, aa) + {math.pi}e0) / {2 * math.pi}e0, 9) as hue")
+    # cut, else each use below would repeat the whole chain of expressions
+    t = cut(spread(with_lab(counts.select("d", "rgb", "n")).select("d", "rgb", "n", *"rgb", "ll", "aa", "bb"))).selectExpr("d", "rgb", "n", "r", "g", "b", "ll", "round(sqrt(aa * aa + bb * bb), 6) as chroma", f"round((atan2(bb, aa) + {math.pi}e0) / {2 * math.pi}e0, 9) as hue")
     return t.where(f"not (ll > {PAPER_L} and chroma < {PAPER_CHROMA})")
 
 
