@@ -48,6 +48,12 @@ MATCH_LOW, BUSY_AREAS, GRAINY, THICK_LINE_MM = 99.0, 1500, 2.0, 0.17
 SMALL_SHARE = 1.5
 
 
+def rounded(value: Column | str, places: int) -> Column:
+    """Rounded to ``places``, halves away from zero, on the scaled double, as databases round: 1.005 is 1.0, since its double is less."""
+    value = F.col(value) if isinstance(value, str) else value
+    return F.round(value.cast("double") * 10.0**places) / 10.0**places
+
+
 def dot_area(mm: Column, dpi: Column) -> Column:
     """Largest island, in pixels, that is smaller than a round dot of ``mm`` across; 0 where no size is given."""
     return F.when(F.coalesce(mm, F.lit(0.0)) == 0, 0).otherwise(F.floor(math.pi / 4 * F.pow(mm * dpi / 25.4, F.lit(2.0)))).cast("long")

@@ -55,3 +55,27 @@ def test_pixels_are_shuffled_packed(spark):
         exchanges = [line for line in plan.splitlines() if "Exchange" in line or "Sort [" in line]
         assert exchanges and all("d" in line for line in exchanges) and "Window" not in plan and "SortMergeJoin" not in plan
         assert "_data" in plan
+
+
+def test_edges_that_shifts_bring_onto_each_other(spark):
+    """Against brute force, over bands' ends and with designs beside each other."""
+    from heddle.operators import repeats
+
+    rnd = random.Random(3)
+    size = {1: (9, 140), 2: (6, 7)}
+    sides = [{(d, x, y): rnd.choice([0, 1]) for d, (w, h) in size.items() for y in range(h) for x in range(w)} for _ in "ab"]
+    edges = [{(d, x, y) for (d, x, y), v in s.items() if s.get((d, x - 1, y), v) != v or s.get((d, x, y - 1), v) != v} for s in sides]
+    a, b = (spark.createDataFrame([(*k, v) for k, v in s.items()], "d long, x int, y int, v int") for s in sides)
+    got = {(r.d, r.dx, r.dy): (r.n, r.m) for r in repeats.edge_hits(a, b, 2).collect()}
+    for d in size:
+        assert got[d, None, None] == tuple(sum(k[0] == d for k in e) for e in edges)
+        for dx in range(-2, 3):
+            for dy in range(-2, 3):
+                assert got[d, dx, dy][0] == sum(k == d and (k, x + dx, y + dy) in edges[1] for k, x, y in edges[0])
+
+
+def test_halves_round_as_the_scaled_double(spark):
+    from heddle.functions.print_rules import rounded
+
+    row = spark.sql("select 1.005e0 as a, 2.5e0 as b, -2.5e0 as c").select(rounded("a", 2), rounded("b", 0), rounded("c", 0)).first()
+    assert tuple(row) == (1.0, 3.0, -3.0)
