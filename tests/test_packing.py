@@ -79,3 +79,77 @@ def test_halves_round_as_the_scaled_double(spark):
 
     row = spark.sql("select 1.005e0 as a, 2.5e0 as b, -2.5e0 as c").select(rounded("a", 2), rounded("b", 0), rounded("c", 0)).first()
     assert tuple(row) == (1.0, 3.0, -3.0)
+
+
+def shuffled_plan(spark, make):
+    """The plan of ``make()`` as at size: nothing is broadcast for being small."""
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        return make()._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+
+
+def test_colours_reach_packed_pixels(spark):
+    rows, t = noise(spark, {"a": (5, 40), "b": (17, 300), "c": (2, 2)})
+    t = t.withColumnRenamed("ink", "rgb")
+    facts = spark.createDataFrame([("a", 0, 7, True), ("a", 2, 8, False), ("b", 1, 9, None), ("z", 1, 1, True)], "d string, rgb int, ink int, exact boolean")
+    known = {(r.d, r.rgb): (r.ink, r.exact) for r in facts.collect()}
+    got = {(r.d, r.x, r.y): (r.rgb, r.ink, r.exact) for r in packing.by_colour(t, facts).collect()}
+    assert got == {(d, x, y): (v, *known.get((d, v), (None, None))) for d, x, y, v in rows}
+    joins = [line for line in shuffled_plan(spark, lambda: packing.by_colour(t, facts)).splitlines() if "Join" in line]
+    assert joins and all("rgb" not in line for line in joins)
+
+
+def test_kept_rows_are_written_compressed(spark, tmp_path):
+    import os
+
+    from heddle.operators import graph
+
+    t = spark.range(100_000).selectExpr("id div 4096 as d", "cast(id % 64 as int) as x", "cast(id div 64 % 64 as int) as y", "cast(id % 7 as int) as rgb", "id % 3 = 0 as edge")
+    folder = lambda: spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:")
+    size = lambda: sum(os.path.getsize(os.path.join(at, f)) for at, _, files in os.walk(folder()) for f in files)
+    graph.cut(spark.range(1))
+    start = size()
+    plain = graph.cut(t)
+    middle = size()
+    small = packing.kept(t)
+    assert size() - middle < (middle - start) / 5
+    assert sorted(map(tuple, small.collect())) == sorted(map(tuple, plain.collect()))
+
+
+def test_nearest_over_many_bands(spark):
+    """Against brute force, with columns whose mask pixels lie bands away; no pixel is sorted as a row."""
+    from pyspark.sql import functions as F
+
+    from heddle.operators import distance
+
+    rnd = random.Random(5)
+    size = {1: (4, 700), 2: (7, 60), 3: (3, 300)}
+    rows = [(d, x, y, int(rnd.random() < 0.004 and d < 3)) for d, (w, h) in size.items() for y in range(h) for x in range(w - (y == h - 1))]
+    t = spark.createDataFrame(rows, "d long, x int, y int, m int").repartition(5)
+    got = {(r.d, r.x, r.y): (r.near, r.far2) for r in distance.nearest(t.withColumn("v", F.expr("x * 1000 + y")), F.col("m") == 1, "v").collect()}
+    mask = {d: [(x, y) for e, x, y, m in rows if e == d and m] for d in size}
+    for d, x, y, _ in rows:
+        best = min((((x - a) ** 2 + (y - b) ** 2, b, a) for a, b in mask[d]), default=None)
+        assert got[d, x, y] == (None if best is None else best[2] * 1000 + best[1], None if best is None else best[0])
+    plan = shuffled_plan(spark, lambda: distance.nearest(t, F.col("m") == 1, "x"))
+    assert "_data" in plan and all("_band" in line for line in plan.splitlines() if "Window [" in line)
+
+
+def test_votes_of_neighbour_inks_are_counted_on_bands(spark):
+    """Against brute force; no expression compares the eight columns of neighbours pair by pair."""
+    from heddle.operators import fringe
+
+    rows, t = noise(spark, {1: (5, 40), 2: (17, 300)})
+    inks = spark.createDataFrame([(i, 90 * i, 0, 0) for i in range(3)], "ink int, pr int, pg int, pb int")
+    ink = {r[:3]: r[3] for r in rows}
+    t = t.selectExpr("*", "100 as r", "0 as g", "0 as b")
+    got = {(r.d, r.x, r.y): r.other for r in fringe.unmix_edges(t, inks).collect()}
+    assert set(got) == {k for k, v in ink.items() if v is not None}
+    for (d, x, y), other in got.items():
+        near = [ink.get((d, x + dx, y + dy)) for dy, dx in raster.OFFSETS.values() if (d, x, y + dy) in ink]
+        best = max(((near.count(v), -v) for v in set(near) if v is not None and v != ink[d, x, y]), default=None)
+        assert other == (None if best is None else -best[1])
+    assert "nw#" not in fringe.unmix_edges(t, inks)._jdf.queryExecution().executedPlan().toString()
