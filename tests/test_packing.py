@@ -153,3 +153,60 @@ def test_votes_of_neighbour_inks_are_counted_on_bands(spark):
         best = max(((near.count(v), -v) for v in set(near) if v is not None and v != ink[d, x, y]), default=None)
         assert other == (None if best is None else -best[1])
     assert "nw#" not in fringe.unmix_edges(t, inks)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_regions_over_seams_of_bands(spark):
+    """Against a flood fill, also diagonally; inside bands no touching runs are edges of the graph."""
+    from pyspark.sql import functions as F
+
+    from heddle.operators import graph, regions
+
+    rnd = random.Random(9)
+    size = {1: (6, 700), 2: (9, 40), 3: (1, 1)}
+    ink = {(d, x, y): rnd.choice([0, 0, 1, -1]) if y % 90 else 0 for d, (w, h) in size.items() for y in range(h) for x in range(w - (y == h - 1 and w > 1))}
+    t = spark.createDataFrame([(*k, v) for k, v in ink.items()], "d long, x int, y int, ink int").repartition(4)
+    sent, plain = [], graph.components
+    graph.components = lambda edges: sent.append(edges.count()) or plain(edges)
+    try:
+        for eight in (False, True):
+            label = {}
+            for start in ink:
+                todo = [start] if ink[start] >= 0 and start not in label else []
+                while todo:
+                    d, x, y = k = todo.pop()
+                    if k in label:
+                        continue
+                    label[k] = start
+                    ways = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1) if abs(i) + abs(j) == 1 or eight and i and j]
+                    todo += [n for i, j in ways if ink.get(n := (d, x + i, y + j)) == ink[k]]
+            got = {(r.d, r.x, r.y): r.region for r in regions.labelled_runs(t, eight).select("d", "y", F.explode(F.sequence("x0", "x1")).alias("x"), "region").collect()}
+            assert set(got) == set(label)
+            assert len({(label[k], got[k]) for k in got}) == len(set(label.values())) == len(set(got.values()))
+    finally:
+        graph.components = plain
+    assert max(sent) < len(ink) / 40
+
+
+def test_facing_areas_on_bands(spark):
+    """Runs of areas give what their pixels give, over many bands; no window sorts pixels."""
+    from pyspark.sql import functions as F
+
+    from heddle.operators import areas, regions
+
+    rnd = random.Random(4)
+    rows = [(1, x, y, rnd.choice([0, -1, -1])) for y in range(400) for x in range(12)]
+    t = spark.createDataFrame(rows, "d long, x int, y int, ink int")
+    runs = regions.labelled_runs(t)
+    region = {(r.x, r.y): r.region for r in runs.select("y", F.explode(F.sequence("x0", "x1")).alias("x"), "region").collect()}
+    want = set()
+    for (x, y), a in region.items():
+        for dx, dy in ((1, 0), (0, 1), (1, 1), (1, -1)):
+            line = [(x + k * dx, y + k * dy) for k in range(1, 6)]
+            line = [region.get(p) for p in line if 0 <= p[0] < 12 and 0 <= p[1] < 400]
+            b = next((v for v in line if v is not None), None)
+            if line and line[0] is None and b is not None and b != a:
+                want.add((1, min(a, b), max(a, b)))
+    pixels = t.select("d", "x", "y").join(runs.select("d", "y", F.explode(F.sequence("x0", "x1")).alias("x"), "region"), ["d", "x", "y"], "left")
+    for found in (areas.facing(pixels, 5), areas.facing(t.select("d", "x", "y"), 5, runs)):
+        assert {tuple(r) for r in found.collect()} == want
+        assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
