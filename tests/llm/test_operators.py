@@ -585,6 +585,30 @@ def test_frequent_words_are_named_by_share(spark):
         assert set(found) - {lm.END} == want
 
 
+def test_language_model_walks_texts_as_arrays():
+    """Tokens, their contexts and the sizes of texts, against a loop over the words of each text."""
+    texts = ["The cat\tthe\x0bCAT", "", " \n ", "é\x1cÉ a\u00a0b \ud800", "cat\r\ncat the "]
+    contexts = lm.Contexts([b"the", b"cat"], 3)
+    hashes, numbers, path, sizes = lm.walked(texts, contexts)
+    own = {lm.word_hash(b"the"): 1, lm.word_hash(b"cat"): 2}
+    want = [[*(lm.word_hash(w.encode("utf-8", "replace")) for w in WORD.findall(lower(t))), lm.word_hash(lm.END)] for t in texts]
+    assert sizes.tolist() == [len(x) for x in want] and hashes[numbers].tolist() == [h for x in want for h in x]
+    assert path.tolist() == [c for x in want for c in (0, *(own.get(h, 3 + h % 3) for h in x[:-1]))]
+    assert lm.walked([""], contexts)[1].tolist() == [0] and not lm.Contexts([], 3).hashes.size
+
+
+def test_language_model_packs_its_vocabulary(spark):
+    """Sweeps read some hundred thousand (word, context) pairs as one row, each word whole in one of them."""
+    pairs = spark.range(3_000_000).selectExpr("id % 1000 as word", "cast(id div 1000 % 7 as int) as context", "id % 3 + 1 as n")
+    rows = lm.packed(pairs, 7).collect()
+    parts = [lm.flattened(lm.loose(bytes(r._data))) for r in rows]
+    got = {(int(w[o]), int(c)): int(n) for w, context, counts, owner in parts for o, c, n in zip(owner, context, counts, strict=True)}
+    assert got == {(r.word, r.context): r.n for r in pairs.groupBy("word", "context").agg({"n": "sum"}).withColumnRenamed("sum(n)", "n").collect()}
+    assert sum(len(p[1]) for p in parts) == len(got) and sum(r.words for r in rows) == 1000 and len(rows) <= 24
+    totals, (words, ones, twos, _) = lm.sums(lm.packed(spark.createDataFrame([(5, 0, 1), (5, 1, 1), (5, 0, 1), (6, 1, 1)], "word long, context int, n long"), 3), 3)
+    assert totals.tolist() == [2, 2, 0] and (words, ones, twos) == (2, 2, 1)
+
+
 def test_strengths():
     """The fitted strength of seatings drawn with a known one."""
     rnd = np.random.default_rng(5)
