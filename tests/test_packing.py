@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 
-from heddle.operators import packing, raster
+from heddle.operators import packing, raster, reduce
 
 
 def noise(spark, names, seed=1, parts=3):
@@ -241,3 +241,18 @@ def test_columns_that_say_the_same_are_packed_once(spark):
     five = chars.selectExpr("d", "x", "y", *[f"{e} as {c}" for c, e in fixtures.RGB.items()], f"{fixtures.INK} as ink", "cp % 2 = 0 as kept")
     one, all_ = (packing.packed(t, 1, 256).selectExpr("sum(length(_data)) as b").first().b for t in (chars, five))
     assert all_ < 1.25 * one and all_ < 1.2 * chars.count()
+
+
+def test_hairlines_on_bands(spark):
+    """A line over many bands comes back whole, in designs of few and of many colours, and no pixel is sorted or shuffled as a row."""
+    ground = {1: lambda x, y: (240, 250, 200), 2: lambda x, y: (240 + x, 250 - y // 6, 200 + x * y % 8)}
+    rows = [(d, x, y, *((0, 0, 0) if x == 5 else ground[d](x, y))) for d in ground for y in range(300) for x in range(12 - 4 * (y == 299))]
+    assert len({r[3:] for r in rows if r[0] == 2}) > 1024
+    line = spark.createDataFrame(rows, "d long, x int, y int, r int, g int, b int")
+    flat = line.selectExpr("d", "x", "y", "200 as r", "200 as g", "200 as b")
+    found = reduce.keep_hairlines(line, flat)
+    got = {(r.d, r.x, r.y) for r in found.where("r = 0").collect()}
+    assert got == {(d, 5, y) for d in ground for y in range(1, 299)}  # the ends have one neighbour on the line
+    assert found.count() == len(rows)
+    plan = shuffled_plan(spark, lambda: reduce.keep_hairlines(line, flat))
+    assert "Window" not in plan and "Join" not in plan and "_data" in plan
