@@ -275,3 +275,38 @@ def test_signatures_on_bands(spark):
     assert sigs["a", 3, 120] == (number(range(16)), number([4 * j + i for j in range(4) for i in (3, 2, 1, 0)]))
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and "_data" in plan
+
+
+def test_regions_are_summed_up_in_bands(spark):
+    """Low and tall designs give what their runs give, and only parts of regions over seams are shuffled."""
+    from heddle.operators import regions
+
+    rows, t = noise(spark, {"a": (7, 40), "b": (9, 400), "c": (3, 128), "d": (2, 300)})
+    t = t.unionByName(spark.createDataFrame([("e", 3, y, 5) for y in range(700)], "d string, x int, y int, ink int"))
+    for eight in (False, True):
+        found = regions.region_sums(t, eight, {"right": ("long", lambda runs: runs.x1 - runs.x0), "m": ("double", lambda runs: runs.y * 0.5)})
+        runs = regions.labelled_runs(t, eight)
+        names = ["d", "ink", "region", "area", "x0", "x1", "y0", "y1", "top_x"]
+        want = {tuple(r) for r in regions.bounds(runs).select(*names).collect()}
+        assert {tuple(r) for r in found.select(*names).collect()} == want == {tuple(r) for r in regions.regions(t, eight).select(*names).collect()}
+        more = {(r.d, r.region): (r.n, r.m) for r in runs.groupBy("d", "region").agg({"x1": "sum", "x0": "sum", "y": "sum"}).selectExpr("d", "region", "`sum(x1)` - `sum(x0)` as n", "`sum(y)` / 2 as m").collect()}
+        assert {(r.d, r.region): (r.right, r.m) for r in found.collect()} == more
+    plan = shuffled_plan(spark, lambda: regions.regions(t))
+    assert not any("Exchange" in line and "region#" in line for line in plan.splitlines())
+
+
+def test_shapes_of_tall_designs(spark):
+    """Holes are counted over seams, shapes of one design share letters wherever they lie, and areas reach their design packed."""
+    from heddle.operators import shapes
+
+    ring = lambda x, y: 0 <= x < 5 and 0 <= y < 5 and not (1 <= x < 4 and 1 <= y < 4)
+    cells = {(x, y): 1 if any(ring(x - 1, y - top) for top in (3, 126, 290)) else 2 if 2 <= x < 5 and 200 <= y < 203 else -1 for x in range(8) for y in range(300)}
+    t = spark.createDataFrame([("a", x, y, i) for (x, y), i in cells.items()], "d string, x int, y int, ink int")
+    found = shapes.shape_numbers(t)
+    got = {(r.y0, r.top_x): r for r in found.collect()}
+    assert {k: (r.area, r.holes, r.cx, r.cy) for k, r in got.items()} == {(3, 1): (16, 1, 3.0, 5.0), (126, 1): (16, 1, 3.0, 128.0), (290, 1): (16, 1, 3.0, 292.0), (200, 2): (9, 0, 3.0, 201.0)}
+    grouped = shapes.group_shapes(found)
+    letter = {r.region: r.letter for r in grouped.collect()}
+    assert {k: letter[r.region] for k, r in got.items()} == {(3, 1): "A", (126, 1): "A", (290, 1): "A", (200, 2): "B"}
+    plan = shuffled_plan(spark, lambda: shapes.group_shapes(found))
+    assert "Window" not in plan and not any("Exchange" in line and "region#" in line for line in plan.splitlines())
